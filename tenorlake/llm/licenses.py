@@ -19,9 +19,10 @@ from functools import lru_cache
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenorlake.llm.common import without
+from tenorlake.llm.common import col, without
 
 # Customary wordings of license statements, by SPDX identifier.
 TEMPLATES = {
@@ -122,4 +123,12 @@ def find(df: DataFrame, text: str = "text", licenses: str = "licenses") -> DataF
             cells = [scan(t) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(cells, _FOUND_ARROW)], names=[*keep, licenses])
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*(col(c) for c in keep)).mapInArrow(run, schema)
+
+
+def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, n_licenses (blocks), licenses (names, sorted and comma-joined) and details (license:block pairs)."""
+    found = find(docs.select(col(key).alias(key), col(text).alias("__text")), "__text")
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",")
+    details = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["block"])), ",")
+    return found.select(col(key), F.size("licenses").cast("long").alias("n_licenses"), names.alias("licenses"), details.alias("details"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenorlake.llm import mixing, pieces, pii, simhash, toxicity
+from tenorlake.llm import licenses, metric_join, mixing, neighbours, pieces, pii, simhash, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,24 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.verdicts(spark, _table(spark, sf_dir, "pages"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.findings(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_sentencepiece, op5_toxicity, op7_pii, op9_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op3_embedding_dedup, op4_sentencepiece, op5_toxicity, op6_neighbours, op7_pii, op8_url_rules, op9_simhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
