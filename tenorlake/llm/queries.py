@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenorlake.llm import licenses, metric_join, mixing, neighbours, pieces, pii, simhash, toxicity, url_rules
+from tenorlake.llm import licenses, metric_join, mixing, neighbours, pieces, pii, simhash, suffix_dedup, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -53,7 +57,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_embedding_dedup, op4_sentencepiece, op5_toxicity, op6_neighbours, op7_pii, op8_url_rules, op9_simhash, op10_licenses)}
+    return {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_embedding_dedup, op4_sentencepiece, op5_toxicity, op6_neighbours, op7_pii, op8_url_rules, op9_simhash, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
