@@ -1 +1,6 @@
+"""Named queries over the driver's tables, with SQL oracles."""
 
+from tenorlake.plans import panel_queries  # noqa: F401
+from tenorlake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
