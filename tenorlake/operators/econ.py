@@ -97,13 +97,13 @@ def newey_west(df: DataFrame, x: str, keys: tuple[str, ...], order: str, lags: i
     w = W.partitionBy(*keys)
     u = df.where(F.col(x).isNotNull()).select(*keys, (F.col(x) - F.avg(x).over(w)).alias("u"), F.avg(x).over(w).alias("mean"), F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(order)).alias("i"))
     most = F.lit(lags) if lags is not None else F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2 / 9))).cast("int")
-    late = u.withColumn("L", most).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("L"))))
+    late = u.withColumn("most", most).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("most"))))
     early = u.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("u").alias("__u"), F.col("i").alias("__i"))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("i") - F.col("l") == F.col("__i")]
     cond = on[0]
     for o in on[1:]:
         cond &= o
-    weight = F.when(F.col("l") == 0, 1.0).otherwise(2 * (1 - F.col("l") / (F.col("L") + 1.0)))
+    weight = F.when(F.col("l") == 0, 1.0).otherwise(2 * (1 - F.col("l") / (F.col("most") + 1.0)))
     s = late.join(early, cond).groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum(weight * F.col("u") * F.col("__u")).alias("s"))
     var = F.col("s") / F.col("n") / F.col("n")
     return s.select(*keys, "n", "mean", F.when((F.col("n") >= least) & (var > 0), F.col("mean") / F.sqrt(F.when(var > 0, var))).alias("t_nw"))
