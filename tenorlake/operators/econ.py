@@ -148,7 +148,7 @@ def panel_ols(df: DataFrame, y: str, xs: list[str], group: str | None = None, ef
         m = _square(pdf.iloc[0], k + 1)
         a = m[:k, :k]
         if pdf.n.iloc[0] < least or np.linalg.matrix_rank(a, hermitian=True) < k:
-            return pd.DataFrame({"__group": [], "beta": [], "inverse": []})
+            return pd.DataFrame({"__group": [], "beta": [], "inverse": []}, dtype=object)
         inv = np.linalg.inv(a)
         return pd.DataFrame({"__group": [pdf["__group"].iloc[0]], "beta": [inv @ m[:k, k]], "inverse": [inv.ravel()]})
 
@@ -188,7 +188,7 @@ def hac_ols(df: DataFrame, y: str, xs: list[str], key: str, order: str, lags: in
         ok = np.isfinite(x).all(1) & np.isfinite(v)
         x, v = x[ok], v[ok]
         if len(v) <= k:
-            return pd.DataFrame({"key": [], "term": [], "coef": [], "t": [], "r2": []})
+            return pd.DataFrame({"key": [], "term": [], "coef": [], "t": [], "r2": []}, dtype=object)
         inv = np.linalg.pinv(x.T @ x)
         b = inv @ x.T @ v
         s = x * (v - x @ b)[:, None]

@@ -79,7 +79,7 @@ class Portfolio:
             pdf = pdf.assign(name="M" + pdf.tenor.astype(str)).sort_values("name")
             b = np.array(pdf.l.tolist(), float).reshape(len(pdf), -1) if self.neutralize and pdf.l.notna().all() else None
             if len(pdf) < self.top_k + self.bottom_k:
-                return pd.DataFrame({"date": [], "tenor": [], "weight": [], "factor_neutral": []})
+                return pd.DataFrame({"date": [], "tenor": [], "weight": [], "factor_neutral": []}, dtype=object)
             w = self.weights(pdf.y_pred.to_numpy(), b)
             return pd.DataFrame({"date": pdf.date, "tenor": pdf.tenor, "weight": 0.0 if w is None else w, "factor_neutral": b is not None})
 

@@ -66,7 +66,7 @@ def intraday_panel(spark: SparkSession, sf_dir: str, minutes: int = 60, names: i
 
 def header_row(lines: DataFrame, wanted: tuple[str, ...] = ("Exchange Date", "Close"), limit: int = 50) -> int:
     """Number of the first of ``limit`` lines with all wanted cells. ``lines``: (row, cells array)."""
-    cells = F.transform("cells", F.trim)
+    cells = F.transform("cells", lambda x: F.trim(x))
     has = [F.array_contains(cells, w) for w in wanted]
     ok = has[0]
     for h in has[1:]:

@@ -13,21 +13,26 @@ def read(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def bars(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+def _watermarked(events: DataFrame, late: str | None) -> DataFrame:
+    """None: the stream has its watermark."""
+    return events.withWatermark("ts", late) if late else events
+
+
+def bars(events: DataFrame, width: str = "5 minutes", late: str | None = "10 minutes", slide: str | None = None) -> DataFrame:
     """(start, end, event_type, n, total, mean, low, high); rows later than ``late`` are dropped on a stream."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    g = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type")
+    g = _watermarked(events, late).groupBy(w.alias("w"), "event_type")
     return g.agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total", "mean", "low", "high")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
     """(user_id, start, end, n, total)."""
     s = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(s.alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
+    return _watermarked(events, late).groupBy(s.alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "total")
 
 
-def once(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+def once(events: DataFrame, key: str = "event_id", late: str | None = "10 minutes") -> DataFrame:
+    return _watermarked(events, late).dropDuplicatesWithinWatermark([key])
 
 
 def trailing_mean(events: DataFrame, size: int = 20) -> DataFrame:
