@@ -36,6 +36,14 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def unused(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for columns of our own beside them."""
+    prefix = "__t"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "t"
+    return prefix + "_"
+
+
 def col(name: str):
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tenorlake.llm.common import col, materialize
+from tenorlake.llm.common import col, materialize, unused
 
 WEIGHTS = (3, 1, 2)
 BITS, LEVELS = 12, 5
@@ -106,9 +106,10 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mixed documents: columns of ``docs``, each row as often as it is taken, whole."""
     rows = _stored(docs, key, text, source)
-    t = thresholds(rows, share, cap).select(F.col("source").alias("__s"), F.col("rounds").alias("__rounds"), F.col("threshold").alias("__edge"), (2 * F.col("left_over") >= F.col("there")).alias("__nearer"))
-    more = (F.col("__hash") < F.col("__edge")) | ((F.col("__hash") == F.col("__edge")) & F.col("__nearer"))
-    times = (F.col("__rounds") + F.coalesce(more, F.lit(False)).cast("long")).cast("int")
-    hashed = docs.select(*(col(c) for c in docs.columns), _keyed(docs, key, text, source)[1])
-    picked = hashed.join(t, col(source).eqNullSafe(F.col("__s"))).withColumn("__times", times).where("__times > 0")
-    return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(col(c) for c in docs.columns))
+    u = unused(docs)
+    t = thresholds(rows, share, cap).select(F.col("source").alias(u + "s"), F.col("rounds").alias(u + "rounds"), F.col("threshold").alias(u + "edge"), (2 * F.col("left_over") >= F.col("there")).alias(u + "nearer"))
+    more = (F.col(u + "hash") < F.col(u + "edge")) | ((F.col(u + "hash") == F.col(u + "edge")) & F.col(u + "nearer"))
+    times = (F.col(u + "rounds") + F.coalesce(more, F.lit(False)).cast("long")).cast("int")
+    hashed = docs.select(*(col(c) for c in docs.columns), _keyed(docs, key, text, source)[1].alias(u + "hash"))
+    picked = hashed.join(t, col(source).eqNullSafe(F.col(u + "s"))).withColumn(u + "times", times).where(F.col(u + "times") > 0)
+    return picked.withColumn(u + "copy", F.explode(F.sequence(F.lit(1), F.col(u + "times")))).select(*(col(c) for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenorlake.llm.common import col, materialize, without
+from tenorlake.llm.common import col, materialize, unused, without
 
 ROWS = 6000
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
@@ -170,5 +170,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Columns of ``docs`` for the rows with a score below ``threshold``."""
-    scored = score(docs, fit(docs, labels, text=text), text, "__toxicity")
-    return scored.where(F.col("__toxicity") < threshold).select(*(col(c) for c in docs.columns))
+    out = unused(docs) + "toxicity"
+    scored = score(docs, fit(docs, labels, text=text), text, out)
+    return scored.where(F.col(out) < threshold).select(*(col(c) for c in docs.columns))

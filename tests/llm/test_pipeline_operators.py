@@ -68,6 +68,7 @@ def test_mixing(spark):
         assert abs(taken[s] - t) <= 2, s
     again = mixing.measure(docs.repartition(3)).collect()
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str)
+    docs = docs.withColumns({"__hash": docs["doc_id"], "__t_edge": docs["doc_id"]})
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     words = dict.fromkeys(sizes, 0)
@@ -136,7 +137,7 @@ def test_toxicity(spark):
         rows.append((i, " ".join(words), "s"))
         marks.append((i, int(bad)))
     rows += [(5000, None, "s"), (5001, "", None), (5002, "oaf dunce " * 5000, "s"), (None, "w1 w2", "s")]
-    docs = make(spark, rows).withColumnRenamed("lang", "toxic")
+    docs = make(spark, rows).withColumnRenamed("lang", "toxic").withColumnRenamed("n_chars", "__t_toxicity")
     labels = spark.createDataFrame([*marks, (None, 1), (3, None), (8, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     out = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
@@ -276,7 +277,7 @@ def test_simhash_deduplicate(spark):
             rows.append((i, " ".join(copy), f"group{i // 4}"))
             i += 1
     rows += [(i, "", "blank"), (i + 1, None, "blank"), (None, rows[0][1], "group0"), (0, rows[0][1], "group0")]
-    docs = make(spark, rows).withColumnRenamed("lang", "shingles")
+    docs = make(spark, rows).withColumnRenamed("lang", "__row").withColumnRenamed("n_chars", "node")
     out = simhash.deduplicate(docs.repartition(3))
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [*range(0, 160, 4), 160]
