@@ -14,25 +14,26 @@ def ordinals(dates: DataFrame, date: str = "date") -> DataFrame:
 
 
 def daily_splits(dates: DataFrame, train: int = 252, purge: int = 1, refit: int = 21, stage2: str | None = None, start: int | None = None, date: str = "date") -> DataFrame:
-    """One row per test day: train_start, train_end, purge_date, n_train_days, is_refit, stage."""
+    """One row per test day: train_start, train_end, purge_date, n_train_days, is_refit, stage. One window over distinct dates."""
     t0 = train + purge if start is None else max(start, train + purge)
-    o = ordinals(dates, date)
-    test = o.where(F.col("t") >= t0)
-    at = lambda shift, name: o.select((F.col("t") + shift).alias("t"), F.col(date).alias(name))
-    out = test.join(at(purge + train, "train_start"), "t").join(at(purge + 1, "train_end"), "t").join(at(max(purge, 1), "purge_date"), "t")
+    before = lambda n: F.lag(date, n).over(W.orderBy(date))
+    x = ordinals(dates, date).select("*", before(purge + train).alias("train_start"), before(purge + 1).alias("train_end"), before(max(purge, 1)).alias("purge_date"))
     stage = F.when(F.col(date) >= F.lit(stage2).cast("date"), "S2").otherwise("S1") if stage2 else F.lit("S1")
-    return out.select(F.col(date).alias("test_date"), "train_start", "train_end", "purge_date", F.lit(train).alias("n_train_days"), ((F.col("t") - t0) % refit == 0).alias("is_refit"), stage.alias("stage"))
+    return x.where(F.col("t") >= t0).select(F.col(date).alias("test_date"), "train_start", "train_end", "purge_date", F.lit(train).alias("n_train_days"), ((F.col("t") - t0) % refit == 0).alias("is_refit"), stage.alias("stage"))
 
 
 def block_splits(dates: DataFrame, train: int = 756, val: int = 63, step: int = 63, purge: int = 6, insample_end: str | None = None, date: str = "date") -> DataFrame:
-    """One row per split: split, train_start, train_end, val_start, val_end, stage; whole validation blocks only."""
-    o = ordinals(dates, date)
-    n = o.agg(F.count("*").alias("n"))
-    s = n.select(F.posexplode(F.when(F.col("n") >= train + purge + val, F.sequence(F.lit(0), (F.col("n") - (train + purge + val)).cast("int"), F.lit(step))).otherwise(F.array().cast("array<int>"))).alias("split", "a"))
-    for name, shift in (("train_start", 0), ("train_end", train - 1), ("val_start", train + purge), ("val_end", train + purge + val - 1)):
-        s = s.join(o.select((F.col("t") - shift).alias("a"), F.col(date).alias(name)), "a")
+    """One row per split: split, train_start, train_end, val_start, val_end, stage; whole validation blocks only.
+
+    The distinct dates become one sorted array, which a calendar bounds; splits are places in it.
+    """
+    days = dates.agg(F.array_sort(F.collect_set(date)).alias("d"))
+    room = F.size("d") - (train + purge + val)
+    s = days.where(room >= 0).select("d", F.posexplode(F.sequence(F.lit(0), room, F.lit(step))).alias("split", "a"))
+    at = lambda n: F.get("d", F.col("a") + n)
+    s = s.select((F.col("split") + 1).alias("split"), at(0).alias("train_start"), at(train - 1).alias("train_end"), at(train + purge).alias("val_start"), at(train + purge + val - 1).alias("val_end"))
     stage = F.when(F.col("val_end") <= F.lit(insample_end).cast("date"), "S1").otherwise("S2") if insample_end else F.lit("S1")
-    return s.select((F.col("split") + 1).alias("split"), "train_start", "train_end", "val_start", "val_end", stage.alias("stage"))
+    return s.withColumn("stage", stage)
 
 
 def refit_cycles(splits: DataFrame, rows_per_day: int = 1) -> DataFrame:
