@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,11 +15,23 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tenorlake-")
+        folder = tempfile.mkdtemp(prefix="tenorlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/tenorlake/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's scratch tables. Results that were not written yet can't be computed afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table below the shared scratch folder and read it back.
 
@@ -25,7 +39,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     size, so that a broadcast is chosen only for a side known to be small.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tenorlake/{label}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

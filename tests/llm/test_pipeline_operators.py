@@ -293,6 +293,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_scratch_tables(spark):
+    from tenorlake.llm import common
+
+    kept = common.materialize(spark.range(3), "scratch-test")
+    assert kept.count() == 3
+    common.release(spark)
+    assert common.materialize(spark.range(2), "scratch-test").count() == 2
+
+
 # --- pipeline
 
 
