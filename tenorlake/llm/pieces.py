@@ -23,6 +23,7 @@ outside the vocabulary become byte pieces; decoding gives the text back exactly.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,9 @@ from tenorlake.llm.common import col, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 200_000  # segments remembered by a worker
+CACHE = 80_000  # segments remembered by a worker, twice
+PAIRS = 150_000  # answers about two neighbours remembered by a worker
+SHORT = 64  # characters of a segment that is searched at once and remembered
 
 
 @dataclass
@@ -54,12 +57,24 @@ class Vocabulary:
     unknown: int
     longest: int = 0
     segments: bool = False
-    agree: dict[tuple[int, int], bool] = field(default_factory=dict)
-    alone: dict[int, bool] = field(default_factory=dict)
+    search: dict[str, int] = field(default_factory=dict)  # the pieces that can occur in an encoding
+    ends: dict[str, tuple[int, ...]] = field(default_factory=dict)  # last four characters: lengths of the pieces with that end, longest first
+    agree: dict[int, bool] = field(default_factory=dict)
+    names: dict[int, str] = field(default_factory=dict)
+    parts: dict[int, tuple[int, int]] = field(default_factory=dict)  # the two pieces that merge last into a piece
     memo: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
+        self.search = self.ids if self.unigram else {p: k for p, k in self.ids.items() if merged(self, p) == [p]}
+        self.names = {k: p for p, k in self.search.items()}
+        for p, k in () if self.unigram else self.search.items():
+            if len(p) > 1:
+                self.parts[k] = tuple(self.search[x] for x in merged(self, p, 2))
+        for p in self.search:
+            if len(p) >= 4:
+                self.ends[p[-4:]] = tuple(sorted({len(p), *self.ends.get(p[-4:], (3, 2, 1))}, reverse=True))
         self.segments = all(re.fullmatch(f"{MARK}*[^{MARK}]*", p) for p in self.ids)
 
 
@@ -82,10 +97,10 @@ def load(path: str = MODEL, unigram: bool = False) -> Vocabulary:
     return Vocabulary(ids, scores, text, bytes_of, unigram, m.unk_id())
 
 
-def merged(v: Vocabulary, text: str) -> list[str]:
-    """Byte-pair encoding of a short string by its definition: the best-scored neighbours merge first, the left ones of equals."""
+def merged(v: Vocabulary, text: str, stop: int = 1) -> list[str]:
+    """Byte-pair encoding of a short string by its definition, until ``stop`` parts are left: the best-scored neighbours merge first, the left ones of equals."""
     parts = list(text)
-    while len(parts) > 1:
+    while len(parts) > stop:
         best, at = None, -1
         for i in range(len(parts) - 1):
             k = v.ids.get(parts[i] + parts[i + 1])
@@ -97,25 +112,73 @@ def merged(v: Vocabulary, text: str) -> list[str]:
     return parts
 
 
-def _alone(v: Vocabulary, piece: str, k: int) -> bool:
-    ok = v.alone.get(k)
-    if ok is None:
-        ok = v.alone[k] = len(piece) == 1 or merged(v, piece) == [piece]
-    return ok
+def _agree(v: Vocabulary, a: int, b: int) -> bool:
+    """Whether two pieces are the encoding of what they say together.
 
-
-def _agree(v: Vocabulary, left: str, a: int, right: str, b: int) -> bool:
-    ok = v.agree.get((a, b))
+    Undo the merges that made them, the latest first: they stay apart if, at no
+    time, the parts that touched made a piece which merges before the next of
+    the two sides grew. Parts of the left side win ties, as they lie further left.
+    """
+    key = a * len(v.scores) + b
+    ok = v.agree.get(key)
     if ok is None:
-        if len(v.agree) > 2_000_000:
+        if len(v.agree) >= PAIRS:
             v.agree.clear()
-        ok = v.agree[a, b] = merged(v, left + right) == [left, right]
+        find, score, parts, names = v.search.get, v.scores, v.parts, v.names
+        ok, x, y = True, a, b
+        bound, left_grew = -math.inf, False  # the score of the merge that comes next on either side
+        while True:
+            k = find(names[x] + names[y])
+            if k is not None and (score[k] > bound or (score[k] == bound and not left_grew)):
+                ok = False
+                break
+            px, py = parts.get(x), parts.get(y)
+            if px is None and py is None:
+                break
+            # the later of the two last merges is undone first; of equals the right one came later
+            if py is None or (px is not None and score[x] < score[y]):
+                bound, left_grew, x = score[x], True, px[1]
+            else:
+                bound, left_grew, y = score[y], False, py[0]
+        v.agree[key] = ok
     return ok
 
 
+_FEW = (3, 2, 1)
+
+
+def _short(v: Vocabulary, text: str) -> list[int]:
+    """``stream`` for a text that fits into the window, where nothing has to be committed before its end."""
+    find, agree, lengths, size, n = v.search.get, v.agree.get, v.ends.get, len(v.scores), len(text)
+    last, came = [-2] * (n + 1), [0] * (n + 1)  # -1: a character outside the vocabulary, -2: the beginning, -3: not reachable
+    for end in range(1, n + 1):
+        for length in lengths(text[end - 4 : end], _FEW) if end > 3 else _FEW[3 - end :]:
+            start = end - length
+            if start < 0 or (k := find(text[start:end])) is None:
+                continue
+            before = last[start]
+            if before >= 0:
+                ok = agree(before * size + k)
+                if ok is None:
+                    ok = _agree(v, before, k)
+                if not ok:
+                    continue
+            elif before == -3:
+                continue
+            last[end], came[end] = k, start
+            break
+        else:
+            last[end], came[end] = (-3 if text[end - 1] in v.search else -1), end - 1
+    out: list[int] = []
+    while n:
+        out += [last[n]] if last[n] >= 0 else [v.bytes_of[b] for b in reversed(text[n - 1 : n].encode())]
+        n = came[n]
+    return out[::-1]
+
+
 def stream(v: Vocabulary, text: str) -> Iterator[int]:
     """Ids of ``text`` (spaces already marked), committed while the window moves on."""
-    longest, ids = v.longest, v.ids
+    longest, ids = v.longest, v.search
     # boundary -> (start of the piece that ends there, its id or -1 for a character outside the vocabulary, sum of scores)
     back: dict[int, tuple[int, int, float]] = {0: (0, -2, 0.0)}
     done = 0
@@ -151,9 +214,7 @@ def stream(v: Vocabulary, text: str) -> Iterator[int]:
                 if best is None or total > best[2]:
                     best = (start, k, total)
                 continue
-            if k >= 0 and not _alone(v, piece, k):
-                continue
-            if k >= 0 and before[1] >= 0 and not _agree(v, text[before[0] : start], before[1], piece, k):
+            if k >= 0 and before[1] >= 0 and not _agree(v, before[1], k):
                 continue
             best = (start, k, 0.0)
             break
@@ -184,11 +245,15 @@ def encode(v: Vocabulary, text: str) -> bytes:
     memo, out = v.memo, []
     for part in _parts.findall(marked):
         got = memo.get(part)
+        if got is None and (got := v.older.get(part)) is not None:
+            memo[part] = got
         if got is None:
-            got = np.fromiter(stream(v, part), np.int32).tobytes()
-            if len(part) <= 64:
-                if len(memo) >= CACHE:
-                    memo.clear()
+            short = len(part) <= SHORT and not v.unigram
+            got = np.array(_short(v, part) if short else list(stream(v, part)), np.int32).tobytes()
+            if short:
+                if len(memo) >= CACHE:  # what was asked for lately stays
+                    v.older, v.memo = memo, {}
+                    memo = v.memo
                 memo[part] = got
         out.append(got)
     return b"".join(out)
@@ -200,6 +265,12 @@ def decode(v: Vocabulary, ids: np.ndarray) -> str:
     return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+def _lists(cells: list[bytes | None]) -> pa.Array:
+    ends = np.cumsum([0, *(len(c or b"") // 4 for c in cells)]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(c or b"" for c in cells), np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([c is None for c in cells]))
+
+
 def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str = MODEL, unigram: bool = False) -> DataFrame:
     """``df`` with an array of ids in ``out``; a column of that name is replaced. The model file is read once, by the driver."""
     keep = without(df, out)
@@ -212,10 +283,7 @@ def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 cells = [None if t is None else encode(v, t) for t in b.column(text).to_pylist()]
-                ends = np.cumsum([0, *(len(c or b"") // 4 for c in cells)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(c or b"" for c in cells), np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([c is None for c in cells]))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _lists(cells)], names=[*keep, out])
 
     return df.select(*(col(c) for c in keep)).mapInArrow(run, schema)
 
@@ -239,8 +307,25 @@ def decode_column(df: DataFrame, ids: str = "ids", out: str = "decoded", path: s
     return df.select(*(col(c) for c in keep)).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str = MODEL) -> DataFrame:
+    """``df`` with ids and the text decoded from them, in one pass: the ids needn't go to Python again."""
+    keep = without(df, ids, decoded)
+    shared = df.sparkSession.sparkContext.broadcast(load(path))
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                cells = [None if t is None else encode(v, t) for t in b.column(text).to_pylist()]
+                back = [None if c is None else decode(v, np.frombuffer(c, np.int32)) for c in cells]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _lists(cells), pa.array(back, pa.string())], names=[*keep, ids, decoded])
+
+    return df.select(*(col(c) for c in keep)).mapInArrow(run, schema)
+
+
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL) -> DataFrame:
     """One row per document: key, n_ids, ids, and whether decoding gives the text back."""
-    coded = encode_column(docs.select(col(key).alias(key), col(text).alias("__text")), "__text", "ids", path)
-    both = decode_column(coded, "ids", "__decoded", path)
+    both = round_trip(docs.select(col(key).alias(key), col(text).alias("__text")), "__text", "ids", "__decoded", path)
     return both.select(col(key), F.size("ids").alias("n_ids"), "ids", F.col("__decoded").eqNullSafe(F.col("__text")).alias("round_trip"))
