@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_ids and the decoded text."""
-    coded = pieces.decode_column(pieces.encode_column(docs.select("doc_id", "source", "text")), out="decoded")
+    coded = pieces.round_trip(docs.select("doc_id", "source", "text"))
     return coded.select("doc_id", "source", "ids", F.size("ids").alias("n_ids"), "decoded")
 
 

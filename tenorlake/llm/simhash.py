@@ -13,7 +13,7 @@ tile pairs are skipped.
 bits, in fingerprints of 256 bits (64 bits at that radius would link unrelated
 documents of a large corpus by chance), and numbers of shingles in a ratio of
 0.8 or more. The tile is the logarithm of the number of shingles, hence only
-equal and adjacent tiles are compared.
+near tiles are compared.
 
 In both, distinct fingerprints go to their own tile and, as visitors, to the
 neighbouring tiles with a smaller number, and are compared there with
@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenorlake.llm.common import col, materialize
+from tenorlake.llm.common import col, materialize, unused
 from tenorlake.llm.components import components
 
-CHUNK = 2048
+CHUNK = 8192
 SEED = 42
 SIMILARITY = 0.8
 WIDE = 4  # words of 64 bits
@@ -118,13 +118,14 @@ def by_counts(radius: int) -> Callable:
     return tile
 
 
-def by_shingles(similarity: float) -> Callable:
-    """Tiles by the logarithm of the number of shingles, to the base 1 / similarity: sizes in that ratio are at most one tile apart."""
-    base = -math.log(similarity)
+def by_shingles(similarity: float, steps: int = 4) -> Callable:
+    """Tiles by the logarithm of the number of shingles, ``steps`` for a ratio of 1 / similarity: sizes in that ratio are at most ``steps`` tiles apart."""
+    base = -math.log(similarity) / steps
 
     def tile(_: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mine = np.floor(np.log(np.maximum(shingles, 1)) / base + 1e-9).astype(np.int64) + (shingles > 0)
-        return mine, np.where(mine > 0, mine - 1, -1)[:, None]
+        to = mine[:, None] - np.arange(1, steps + 1)[None, :]
+        return mine, np.where((mine > 0)[:, None] & (to > 0), to, -1)
 
     return tile
 
@@ -260,10 +261,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """
     radius = math.floor((1 - similarity) * 64 * WIDE + 1e-9)
     names = [f"p{i}" for i in range(WIDE)]
-    rows = materialize(docs.select(*(col(c) for c in docs.columns), F.monotonically_increasing_id().alias("__row")), "simhash-rows")
-    made = fingerprints(rows.select("__row", col(key).alias("__key"), col(text).alias("__text")), "__text", width, WIDE)
+    row = unused(docs) + "row"
+    rows = materialize(docs.select(*(col(c) for c in docs.columns), F.monotonically_increasing_id().alias(row)), "simhash-rows")
+    made = fingerprints(rows.select(F.col(row).alias("__row"), col(key).alias("__key"), col(text).alias("__text")), "__text", width, WIDE)
     order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__row").alias("r"))
     prints = materialize(made.select(F.xxhash64(*names, "shingles").alias("node"), order.alias("__order"), *names, "shingles"), "simhash-prints")
     first = _firsts(prints, "__order", WIDE, lambda once: links(once, WIDE, by_shingles(similarity), 18, radius, similarity))
-    stays = materialize(first.select(F.col("first.r").alias("__row")).distinct(), "simhash-stays")
-    return rows.join(stays, "__row", "left_semi").select(*(col(c) for c in docs.columns))
+    stays = materialize(first.select(F.col("first.r").alias(row)).distinct(), "simhash-stays")
+    # texts are dealt by row, once, at every size of the input; whether ``stays`` could be broadcast would be a matter of luck
+    return rows.join(stays.hint("merge"), row, "left_semi").select(*(col(c) for c in docs.columns))
