@@ -134,7 +134,11 @@ TILES = 17**4  # no tiling has more, whatever the input: 83,521
 
 
 def _compare(home: tuple, guests: tuple, parent: list[int], screen: int, radius: int, ratio: float) -> Iterator[tuple[int, int]]:
-    """Links that join what ``parent`` (a union-find over ``home``) has not joined yet, and one per linked guest."""
+    """Links that join what ``parent`` (a union-find over ``home``) has not joined yet, and one per linked guest.
+
+    Of ``radius`` differing bits some word has at most ``radius // words``; pairs
+    in which no word differs in at most ``screen`` bits are set aside unseen.
+    """
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -143,9 +147,13 @@ def _compare(home: tuple, guests: tuple, parent: list[int], screen: int, radius:
         return i
 
     node, prints, shingles = home
-    for at in range(0, len(guests[0]), 512):
-        g_node, g_prints, g_shingles = (x[at : at + 512] for x in guests)
-        g, h = np.nonzero(np.bitwise_count(g_prints[:, 0][:, None] ^ prints[:, 0][None, :]) <= screen)
+    columns = [np.ascontiguousarray(prints[:, w]) for w in range(prints.shape[1])]
+    for at in range(0, len(guests[0]), 16):  # 16 rows of a chunk's differences stay in the processor's cache
+        g_node, g_prints, g_shingles = (x[at : at + 16] for x in guests)
+        seen = np.zeros((len(g_node), len(node)), bool)
+        for w, column in enumerate(columns):
+            seen |= np.bitwise_count(g_prints[:, w][:, None] ^ column[None, :]) <= screen
+        g, h = np.divmod(np.flatnonzero(seen), max(len(node), 1))
         if prints.shape[1] > 1:
             ok = np.bitwise_count(g_prints[g] ^ prints[h]).sum(1, dtype=np.int64) <= radius
             a, b = g_shingles[g], shingles[h]
@@ -167,6 +175,8 @@ def links(prints: DataFrame, words: int, tiling: Callable, screen: int, radius:
 
     ``prints``: (node, p0.., shingles), a row for each distinct node, stored.
     """
+    if screen < radius // words:
+        raise ValueError(f"a screen of {screen} bits a word would lose pairs within {radius} bits")
     spark = prints.sparkSession
     names = [f"p{i}" for i in range(words)]
 
@@ -254,11 +264,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: in
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = 5) -> DataFrame:
-    """Columns of ``docs``; of each component of near-duplicates the row with the smallest key stays (null keys last, one row of equal ones).
-
-    The first 64 bits screen the pairs: at most 18 may differ. With 51 of 256
-    allowed, a pair that has them spread at random passes in over 0.99 of cases.
-    """
+    """Columns of ``docs``; of each component of near-duplicates the row with the smallest key stays (null keys last, one row of equal ones)."""
     radius = math.floor((1 - similarity) * 64 * WIDE + 1e-9)
     names = [f"p{i}" for i in range(WIDE)]
     row = unused(docs) + "row"
@@ -266,7 +272,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     made = fingerprints(rows.select(F.col(row).alias("__row"), col(key).alias("__key"), col(text).alias("__text")), "__text", width, WIDE)
     order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__row").alias("r"))
     prints = materialize(made.select(F.xxhash64(*names, "shingles").alias("node"), order.alias("__order"), *names, "shingles"), "simhash-prints")
-    first = _firsts(prints, "__order", WIDE, lambda once: links(once, WIDE, by_shingles(similarity), 18, radius, similarity))
+    first = _firsts(prints, "__order", WIDE, lambda once: links(once, WIDE, by_shingles(similarity), radius // WIDE, radius, similarity))
     stays = materialize(first.select(F.col("first.r").alias(row)).distinct(), "simhash-stays")
     # texts are dealt by row, once, at every size of the input; whether ``stays`` could be broadcast would be a matter of luck
     return rows.join(stays.hint("merge"), row, "left_semi").select(*(col(c) for c in docs.columns))

@@ -265,6 +265,26 @@ def test_simhash_links_are_exact(spark, monkeypatch):
     assert plain_components(len(values), got) == plain_components(len(values), near)
 
 
+def test_simhash_wide_links_are_exact(spark, monkeypatch):
+    """Pairs at 45 to 51 of 256 bits, as many as possible of them in the first word; 52 are too many."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = random.Random(5)
+    values = []
+    for bits in [*range(45, 53)] * 6:
+        v = rng.getrandbits(256)
+        first = rng.sample(range(64), rng.choice([11, 19, 30, 45]))
+        other = rng.sample(range(64, 256), bits - len(first))
+        values += [v, v ^ sum(1 << i for i in first + other)]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    rows = [(i, *(signed((v >> 64 * w) % 2**64) for w in range(4)), 100) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, "node long, p0 long, p1 long, p2 long, p3 long, shingles long").repartition(3)
+    near = [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 51]
+    got = [(r.a, r.b) for r in simhash.links(table, 4, simhash.by_shingles(0.8), 12, 51, 0.8).collect()]
+    assert len(near) == 42 and {(max(x), min(x)) for x in got} == set(near)
+    with pytest.raises(ValueError):
+        simhash.links(table, 4, simhash.by_shingles(0.8), 11, 51, 0.8)
+
+
 def test_simhash_deduplicate(spark):
     rng = random.Random(23)
     rows, i = [], 0
