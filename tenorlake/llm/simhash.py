@@ -9,18 +9,22 @@ fingerprint's tile is the population counts of its four 16-bit blocks. The
 counts of linked fingerprints differ by at most ``radius`` in sum; all other
 tile pairs are skipped.
 
-``deduplicate`` takes similarity 0.8 or more: at least that share of equal
-bits, in fingerprints of 256 bits (64 bits at that radius would link unrelated
-documents of a large corpus by chance), and numbers of shingles in a ratio of
-0.8 or more. The tile is the logarithm of the number of shingles, hence only
-near tiles are compared.
+``deduplicate`` links documents whose sets of shingles (repeats don't count)
+have a Jaccard similarity of 0.8 or more, counted exactly. Fingerprints of the
+sets, 256 bits wide, only find the candidates, in a radius that a pair of just
+that similarity exceeds by chance alone (``reach``). The sizes of such sets
+have a ratio of 0.8 or more; the tile is the logarithm of the size, hence only
+near tiles are compared. First a spanning forest of the candidates is counted,
+then all candidates between different components of what that confirmed, so
+large groups of near copies don't make all their pairs.
 
 In both, distinct fingerprints go to their own tile and, as visitors, to the
 neighbouring tiles with a smaller number, and are compared there with
 exclusive-or and bit counts in numpy. Tiles with many fingerprints are cut into
 chunks, so no task holds more than one chunk and one batch of visitors. Equal
 fingerprints are grouped before, hence large groups of copies cost nothing. A
-chunk returns a spanning forest of its links, not all pairs.
+chunk returns a spanning forest of its links, or, of rows with groups, all
+links between different groups.
 """
 
 from __future__ import annotations
@@ -67,8 +71,16 @@ def _widen(h: np.ndarray, word: int) -> np.ndarray:
 def fingerprint(text: bytes | None, width: int = 3, words: int = 1) -> tuple[list[int], int]:
     """Unsigned words of the fingerprint and the number of shingles; a bit is 1 if it is set in over half the hashes."""
     hashes = _shingles(text, width) if text else []
-    if not hashes:
-        return [0] * words, 0
+    return _print(hashes, words), len(hashes)
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(np.array(_shingles(text, width) if text else [], np.uint64))
+
+
+def _print(hashes: list[int] | np.ndarray, words: int) -> list[int]:
+    if not len(hashes):
+        return [0] * words
     counts = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 8192):  # bounded memory for very long texts
         part = np.array(hashes[at : at + 8192], np.uint64)
@@ -76,7 +88,7 @@ def fingerprint(text: bytes | None, width: int = 3, words: int = 1) -> tuple[lis
             bits = np.unpackbits(_widen(part, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts[w] += bits.sum(axis=0, dtype=np.int64)
     packed = np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64)
-    return packed[:, 0].tolist(), len(hashes)
+    return packed[:, 0].tolist()
 
 
 def fingerprints(df: DataFrame, text: str = "text", width: int = 3, words: int = 1) -> DataFrame:
@@ -104,6 +116,27 @@ def _around(radius: int) -> np.ndarray:
     return every[np.abs(every).sum(1) <= radius]
 
 
+def set_fingerprints(df: DataFrame, text: str, width: int, words: int) -> DataFrame:
+    """``df`` without ``text``, with ``node`` (a hash of the set of shingles), ``p0`` to ``p{words-1}`` and ``shingles``, of sets."""
+    keep = [c for c in df.columns if c != text]
+    made = ["node", *(f"p{i}" for i in range(words)), "shingles"]
+    schema = df.select(*(col(c) for c in keep), *(F.lit(0).cast("long").alias(c) for c in made)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = (shingle_set(t.as_py(), width) for t in b.column(text).cast(pa.binary()))
+            out = np.array([[xxhash.xxh64_intdigest(s.tobytes(), SEED), *_print(s, words), len(s)] for s in sets], np.uint64).reshape(-1, words + 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(np.ascontiguousarray(out[:, i])) for i in range(words + 2))], names=[*keep, *made])
+
+    return df.select(*(col(c) for c in [*keep, text])).mapInArrow(run, schema)
+
+
+def reach(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of two sets of that Jaccard similarity differ: the expected number and 4.5 deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(bits, math.floor(bits * p + 4.5 * math.sqrt(bits * p * (1 - p))))
+
+
 def by_counts(radius: int) -> Callable:
     """Tiles by population counts: (own tile, tiles to visit with -1 for none)."""
     steps = _around(radius)
@@ -133,23 +166,17 @@ def by_shingles(similarity: float, steps: int = 4) -> Callable:
 TILES = 17**4  # no tiling has more, whatever the input: 83,521
 
 
-def _compare(home: tuple, guests: tuple, parent: list[int], screen: int, radius: int, ratio: float) -> Iterator[tuple[int, int]]:
-    """Links that join what ``parent`` (a union-find over ``home``) has not joined yet, and one per linked guest.
+def _near(home: tuple, guests: tuple, screen: int, radius: int, ratio: float) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """A few guests at a time, with places of linked ones among them and of what they are linked to.
 
     Of ``radius`` differing bits some word has at most ``radius // words``; pairs
     in which no word differs in at most ``screen`` bits are set aside unseen.
     """
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    node, prints, shingles = home
+    node, prints, shingles = home[:3]
     columns = [np.ascontiguousarray(prints[:, w]) for w in range(prints.shape[1])]
     for at in range(0, len(guests[0]), 16):  # 16 rows of a chunk's differences stay in the processor's cache
-        g_node, g_prints, g_shingles = (x[at : at + 16] for x in guests)
+        few = tuple(x[at : at + 16] for x in guests)
+        g_node, g_prints, g_shingles = few[:3]
         seen = np.zeros((len(g_node), len(node)), bool)
         for w, column in enumerate(columns):
             seen |= np.bitwise_count(g_prints[:, w][:, None] ^ column[None, :]) <= screen
@@ -157,8 +184,22 @@ def _compare(home: tuple, guests: tuple, parent: list[int], screen: int, radius:
         if prints.shape[1] > 1:
             ok = np.bitwise_count(g_prints[g] ^ prints[h]).sum(1, dtype=np.int64) <= radius
             a, b = g_shingles[g], shingles[h]
-            ok &= np.minimum(a, b) >= ratio * np.maximum(a, b)
+            ok &= np.minimum(a, b) >= ratio * np.maximum(a, b) - 1e-9
             g, h = g[ok], h[ok]
+        yield few, g, h
+
+
+def _compare(home: tuple, guests: tuple, parent: list[int], screen: int, radius: int, ratio: float) -> Iterator[tuple[int, int]]:
+    """Links that join what ``parent`` (a union-find over ``home``) has not joined yet, and one per linked guest."""
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    node = home[0]
+    for (g_node, *_), g, h in _near(home, guests, screen, radius, ratio):
         last = first = -1
         for i, j in zip(g.tolist(), h.tolist(), strict=True):
             if i != last:
@@ -173,26 +214,30 @@ def _compare(home: tuple, guests: tuple, parent: list[int], screen: int, radius:
 def links(prints: DataFrame, words: int, tiling: Callable, screen: int, radius: int, ratio: float = 0.0) -> DataFrame:
     """(a, b): links between different nodes, as spanning forests per chunk; all linked pairs are connected by the result.
 
-    ``prints``: (node, p0.., shingles), a row for each distinct node, stored.
+    ``prints``: (node, p0.., shingles), a row for each distinct node, stored. With
+    a column ``group`` the result is all links between different groups instead,
+    once or twice.
     """
     if screen < radius // words:
         raise ValueError(f"a screen of {screen} bits a word would lose pairs within {radius} bits")
     spark = prints.sparkSession
+    grouped = "group" in prints.columns
     names = [f"p{i}" for i in range(words)]
+    ends = ["shingles", "group"] if grouped else ["shingles"]
 
-    def read(b: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cols = [np.asarray(b.column(i)) for i in range(first, first + words + 2)]
-        return cols[0], np.stack([c.view(np.uint64) for c in cols[1:-1]], 1), cols[-1]
+    def read(b: pa.RecordBatch, first: int) -> tuple[np.ndarray, ...]:
+        cols = [np.asarray(b.column(i)) for i in range(first, first + words + 1 + len(ends))]
+        return cols[0], np.stack([c.view(np.uint64) for c in cols[1 : words + 1]], 1), *cols[words + 1 :]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TILES, np.int64)
         for b in batches:
-            _, p, s = read(b, 0)
+            _, p, s = read(b, 0)[:3]
             np.add.at(total, tiling(p, s)[0], 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "n"])
 
-    rows = prints.select("node", *names, "shingles")
+    rows = prints.select("node", *names, *ends)
     counted = rows.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()  # at most TILES rows
     chunks = np.zeros(TILES + 1, np.int64)
     for t, n in counted:
@@ -202,7 +247,7 @@ def links(prints: DataFrame, words: int, tiling: Callable, screen: int, radius:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
         for b in batches:
-            node, p, s = read(b, 0)
+            node, p, s = read(b, 0)[:3]
             if not len(node):
                 continue
             mine, visits = tiling(p, s)
@@ -216,7 +261,7 @@ def links(prints: DataFrame, words: int, tiling: Callable, screen: int, radius:
             c = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             role = np.repeat(np.array([0, 1], np.int8), [len(node), len(row)])
             row, t, c = np.concatenate([np.arange(len(node)), row]), np.concatenate([mine, t]), np.concatenate([chunk, c])
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(role), *(pa.array(np.asarray(b.column(i))[row]) for i in range(words + 2))], names=["tile", "chunk", "role", "node", *names, "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(role), *(pa.array(np.asarray(b.column(i))[row]) for i in range(words + 1 + len(ends)))], names=["tile", "chunk", "role", "node", *names, *ends])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, at, parent = None, None, []
@@ -235,12 +280,17 @@ def links(prints: DataFrame, words: int, tiling: Callable, screen: int, radius:
                     else:
                         home = tuple(np.concatenate(x) for x in zip(home, part, strict=True))
                         parent += range(len(parent), len(home[0]))
-                if key == at:
+                if key == at and grouped:
+                    for few, g, h in _near(home, part, screen, radius, ratio):
+                        apart = few[3][g] != home[3][h]
+                        if apart.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(few[0][g[apart]]), pa.array(home[0][h[apart]])], names=["a", "b"])
+                elif key == at:
                     found += _compare(home, part, parent, screen, radius, ratio)
-            ends = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    dealt = rows.mapInArrow(deal, ", ".join(["tile long", "chunk long", "role byte", "node long", *(f"{n} long" for n in names), "shingles long"]))
+    dealt = rows.mapInArrow(deal, ", ".join(["tile long", "chunk long", "role byte", "node long", *(f"{n} long" for n in [*names, *ends])]))
     return dealt.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "role").mapInArrow(compare, "a long, b long")
 
 
@@ -263,16 +313,54 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: in
     return prints.join(first, "node").select(col(key), F.lpad(F.lower(F.hex("p0")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
+def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets of shingles have that Jaccard similarity or more; ``texts``: (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = [(None, None), (None, None)]  # rows of one node follow each other
+        for b in batches:
+            ends = [b.column(i).to_pylist() for i in range(2)]
+            sides = [b.column(i).cast(pa.binary()) for i in (2, 3)]
+            ok = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                for k in range(2):
+                    if held[k][0] != ends[k][i]:
+                        held[k] = ends[k][i], shingle_set(sides[k][i].as_py(), width)
+                x, y = held[0][1], held[1][1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            at = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(at) for i in range(2)], names=["a", "b"])
+
+    side = lambda n, t: texts.select(F.col("node").alias(n), F.col("text").alias(t))
+    return pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = 5) -> DataFrame:
     """Columns of ``docs``; of each component of near-duplicates the row with the smallest key stays (null keys last, one row of equal ones)."""
-    radius = math.floor((1 - similarity) * 64 * WIDE + 1e-9)
+    radius = reach(similarity, 64 * WIDE)
     names = [f"p{i}" for i in range(WIDE)]
     row = unused(docs) + "row"
     rows = materialize(docs.select(*(col(c) for c in docs.columns), F.monotonically_increasing_id().alias(row)), "simhash-rows")
-    made = fingerprints(rows.select(F.col(row).alias("__row"), col(key).alias("__key"), col(text).alias("__text")), "__text", width, WIDE)
+    made = set_fingerprints(rows.select(F.col(row).alias("__row"), col(key).alias("__key"), col(text).alias("__text")), "__text", width, WIDE)
     order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__row").alias("r"))
-    prints = materialize(made.select(F.xxhash64(*names, "shingles").alias("node"), order.alias("__order"), *names, "shingles"), "simhash-prints")
-    first = _firsts(prints, "__order", WIDE, lambda once: links(once, WIDE, by_shingles(similarity), radius // WIDE, radius, similarity))
+    prints = materialize(made.select("node", order.alias("__order"), *names, "shingles"), "simhash-prints")
+
+    def confirmed(prints: DataFrame, once: DataFrame) -> DataFrame:
+        near = links(prints, WIDE, by_shingles(similarity), radius // WIDE, radius, similarity)
+        pairs = materialize(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "simhash-candidates")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        of = once.join(ends, "node", "left_semi").select("node", F.col("first.r").alias("__at"))
+        texts = rows.select(F.col(row).alias("__at"), col(text).alias("text")).join(of, "__at").select("node", "text")
+        return materialize(similar(pairs, materialize(texts, "simhash-texts"), width, similarity), "simhash-links")
+
+    def linked(once: DataFrame) -> DataFrame:
+        forest = confirmed(once, once)
+        roots = components(forest).withColumnRenamed("node", "__node")
+        groups = materialize(once.join(roots, F.col("node") == F.col("__node"), "left").select("node", *names, "shingles", F.coalesce("root", "node").alias("group")), "simhash-groups")
+        return forest.unionByName(confirmed(groups, once))
+
+    first = _firsts(prints, "__order", WIDE, linked)
     stays = materialize(first.select(F.col("first.r").alias(row)).distinct(), "simhash-stays")
     # texts are dealt by row, once, at every size of the input; whether ``stays`` could be broadcast would be a matter of luck
     return rows.join(stays.hint("merge"), row, "left_semi").select(*(col(c) for c in docs.columns))

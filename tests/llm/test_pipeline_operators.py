@@ -304,6 +304,30 @@ def test_simhash_deduplicate(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_simhash_deduplicate_counts_shingles(spark, monkeypatch):
+    """Against brute force over sets of shingles: similarities around 0.8, chains of copies, repeated lines."""
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    rng = random.Random(29)
+    texts = []
+    for n, changes in ((400, 60), (400, 80), (400, 90), (400, 100), (300, 40), (300, 30), (9, 1), (12, 0)):
+        for _ in range(3):
+            base = prose(rng, n, 100000).split()
+            copy = [*base[: n - changes], *prose(rng, changes, 100000).split()]  # the end differs
+            texts += [" ".join(base), " ".join(copy), " ".join([*copy[: n // 2], *prose(rng, 2, 100000).split(), *copy[n // 2 :]])]
+    texts += [t for b in (prose(rng, 60, 100000) for _ in range(4)) for t in (b, f"{b}\n{b}", f"{b}\n{b}\n{b}\n{b}")]
+
+    def of(t):
+        ws = t.lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+    sets = [of(t) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = plain_components(len(texts), near)
+    docs = make(spark, [(i, t, None) for i, t in enumerate(texts)])
+    out = {r.doc_id for r in simhash.deduplicate(docs.repartition(3)).collect()}
+    assert out == set(root) and len(out) < len(texts)
+
+
 def test_components(spark):
     rng = random.Random(2)
     linked = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(500 + i, 501 + i) for i in range(40)] + [(600, 600 + i) for i in range(90)]
