@@ -1,21 +1,27 @@
 """License statements by conditional compression.
 
-A text is cut into blocks (lines); a block with a cue word is a candidate.
-Each candidate is compressed alone and with every template as zstandard raw
-dictionary. The template that shrinks it most is confirmed, or not, by the
-exact differences in wording between block and template.
-
-Defined results: null and empty texts have no finding; a block counts once,
-for its best confirmed template; ties go to the first template by name.
+A block is the words around a cue word, as far on either side as the longest
+template reaches, over the ends of lines; overlapping blocks are one. A place in
+it where a template's wording is met but for few exact differences is a
+statement; it is compressed alone and with that template as zstandard raw
+dictionary, and confirmed if the dictionary shrinks it enough. (A whole block is
+not compressed first: a short statement shrinks a long block by too little.)
+
+Defined results: null and empty texts have no finding; each statement counts
+once, with the number of the line that it begins on, as many as a line or text
+has; of overlapping statements the one with the fewest changes stays, then the
+longest, then the first template by name. Findings are in the order of the text.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -40,10 +46,10 @@ TEMPLATES = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
 }
 # Words that a license statement has at least one of.
-CUES = re.compile(r"licen[sc]e|copyright|permission is hereby|redistribut|public domain|spdx", re.IGNORECASE)
+CUES = re.compile(r"licen[sc]e|copyright|permission[\W_]+is[\W_]+hereby|redistribut|public[\W_]+domain|spdx", re.IGNORECASE)
 _word = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
-MIN_REDUCTION = 0.30  # share of the block's own compressed size that the dictionary must save
+MIN_REDUCTION = 0.30  # share of the statement's own compressed size that the dictionary must save
 MAX_CHANGED = 0.15  # share of the template's words that may differ
 
 
@@ -67,49 +73,92 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[str, list[str],
     made = []
     for name in sorted(TEMPLATES):
         for text in TEMPLATES[name]:
-            raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             made.append((name, words(text), zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_dict_id=False)))
     return plain, made
 
 
 _version = re.compile(r"[0-9]")
+_blank = re.compile(r"\s+")
 
 
-@lru_cache(4096)
-def judge(block: str) -> tuple[str, float, str] | None:
-    """Best confirmed (license, reduction, differences) of one block."""
+def _ends(template: list[str], ws: list[str], anywhere: bool = True) -> np.ndarray:
+    """For each end in ``ws`` the fewest words to change so that the template ends there; it begins anywhere, or with the first word."""
+    place = np.arange(len(ws) + 1)
+    cost = np.zeros(len(ws) + 1, np.int64) if anywhere else place
+    at = np.array(ws, object)
+    for w in template:
+        new = cost + 1
+        new[1:] = np.minimum(new[1:], cost[:-1] + (at != w))
+        cost = np.minimum.accumulate(new - place) + place
+    return cost
+
+
+def _gain(raw: bytes, i: int) -> float:
     plain, made = _compressors()
-    raw = block.encode()
     alone = len(plain.compress(raw))
-    ranked = sorted(((alone - len(c.compress(raw))) / alone, i) for i, (_, _, c) in enumerate(made))
-    ws = words(block)
-    best = None
-    for gain, i in sorted(ranked, key=lambda x: (-x[0], x[1])):
+    return (alone - len(made[i][2].compress(raw))) / alone
+
+
+@lru_cache(4096)
+def judge(block: str) -> tuple[tuple[int, str, float, str], ...]:
+    """(first word, license, reduction, differences) of each confirmed statement in one block of lower-cased text, in order."""
+    _, made = _compressors()
+    spans = [m.span() for m in _word.finditer(block)]
+    ws = [block[a:b] for a, b in spans]
+    there, places = set(ws), []
+    for i, (_, template, _) in enumerate(made):
+        most = int(MAX_CHANGED * len(template) + 1e-9)
+        if sum(w in there for w in template) < len(template) - most:
+            continue  # more words are missing from the block than may change
+        cost = _ends(template, ws)
+        for end in np.flatnonzero(cost <= most).tolist():
+            low = max(0, end - len(template) - most)
+            back = _ends(template[::-1], ws[low:end][::-1], False)
+            start = end - int(np.argmin(back))
+            named = {w for w in template if _version.search(w)} <= set(ws[start:end])  # versions and clause numbers are part of the name
+            if named and start < end:
+                places.append((int(cost[end]) / len(template), -len(template), i, start, end))
+    taken: list[tuple[int, int, int]] = []
+    for _, _, i, start, end in sorted(places):
+        if all(end <= a or start >= b for a, b, _ in taken):
+            taken.append((start, end, i))
+    out = []
+    for start, end, i in sorted(taken):
         name, template, _ = made[i]
-        # A block longer than the template can't shrink by much; there the template's own share counts.
-        share = min(1.0, len(template) / max(len(ws), 1))
-        if gain < MIN_REDUCTION * share:
-            break
-        lost, edits = changed(template, ws)
-        named = {w for w in template if _version.search(w)} <= set(ws)  # versions and clause numbers are part of the name
-        if lost <= MAX_CHANGED and named and (best is None or lost < best[0]):
-            best = (lost, name, round(gain, 6), "; ".join(edits))
-            if lost == 0:
-                break
-    return best and best[1:]
+        own = _blank.sub(" ", block[spans[start][0] : spans[end - 1][1]]).encode()
+        if (gain := _gain(own, i)) >= MIN_REDUCTION:
+            out.append((start, name, round(gain, 6), "; ".join(changed(template, ws[start:end])[1])))
+    return tuple(out)
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("block", T.IntegerType()), T.StructField("reduction", T.DoubleType()), T.StructField("differences", T.StringType())]))
 _FOUND_ARROW = pa.list_(pa.struct([("license", pa.string()), ("block", pa.int32()), ("reduction", pa.float64()), ("differences", pa.string())]))
 
 
+REACH = max(len(words(t)) for ts in TEMPLATES.values() for t in ts) * (1 + MAX_CHANGED)  # words that a statement has at most
+
+
 def scan(text: str | None) -> list[dict]:
     if not text or not CUES.search(text):
         return []
-    out = []
-    for i, block in enumerate(text.split("\n")):
-        if CUES.search(block) and (hit := judge(block)):
-            out.append({"license": hit[0], "block": i, "reduction": hit[1], "differences": hit[2]})
+    text = text.lower()
+    spans = [m.span() for m in _word.finditer(text)]
+    starts = [a for a, _ in spans]
+    reach, blocks = int(REACH) + 1, []
+    for cue in CUES.finditer(text):
+        lo = max(0, bisect_right(starts, cue.start()) - 1 - reach)
+        hi = min(len(spans), bisect_right(starts, cue.end()) + reach)
+        if blocks and lo <= blocks[-1][1]:
+            blocks[-1][1] = hi
+        else:
+            blocks.append([lo, hi])
+    out, line, at = [], 0, 0
+    for lo, hi in blocks:
+        for first, name, gain, edits in judge(text[spans[lo][0] : spans[hi - 1][1]]):
+            here = starts[lo + first]
+            line, at = line + text.count("\n", at, here), here
+            out.append({"license": name, "block": line, "reduction": gain, "differences": edits})
     return out
 
 
@@ -127,7 +176,7 @@ def find(df: DataFrame, text: str = "text", licenses: str = "licenses") -> DataF
 
 
 def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, n_licenses (blocks), licenses (names, sorted and comma-joined) and details (license:block pairs)."""
+    """One row per document: key, n_licenses (statements), licenses (names, sorted and comma-joined) and details (license:line pairs)."""
     found = find(docs.select(col(key).alias(key), col(text).alias("__text")), "__text")
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",")
     details = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["block"])), ",")

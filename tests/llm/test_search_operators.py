@@ -183,3 +183,23 @@ def test_licenses(spark):
     for r in licenses.findings(df).collect():
         assert r.n_licenses == len(texts[r.doc_id][1]) and r.licenses == ",".join(sorted(texts[r.doc_id][1]))
     assert licenses.findings(df.limit(0)).count() == 0
+
+
+def test_licenses_wrapped_and_several(spark):
+    mit = "MIT License\n\nPermission is\nhereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\n"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */"
+    texts = {
+        1: ("Prose.\n" + mit, [("MIT", 3)]),
+        2: (gpl, [("GPL-3.0", 0)]),
+        3: (gpl.replace("GNU General", "GNU Affero General"), [("AGPL-3.0", 0)]),
+        4: ("int x;\n" + mpl, [("MPL-2.0", 1)]),
+        5: ("This is Released under the MIT License. Its pictures are Licensed under CC BY 4.0. And more", [("MIT", 0), ("CC-BY-4.0", 0)]),
+        6: (" ".join([*["word"] * 90, "Released under the MIT License.", *["more"] * 900, "Licensed under the Apache License, Version 2.0."]), [("MIT", 0), ("Apache-2.0", 0)]),
+        7: (gpl + "\n" + mit + mpl, [("GPL-3.0", 0), ("MIT", 7), ("MPL-2.0", 11)]),
+        8: ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:", [("BSD-3-Clause", 0)]),
+        9: ("This program is free software: you can redistribute it and/or modify\nit as you like. A license of version 3 is needed for any later version.", []),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    for r in licenses.find(df).collect():
+        assert [(x.license, x.block) for x in r.licenses] == texts[r.doc_id][1], r.doc_id
