@@ -100,6 +100,46 @@ def test_pieces_equal_the_library(spark):
         assert list(pieces.stream(v, "▁" + t.replace(" ", "▁"))) == got or not t
 
 
+def test_pieces_commit_in_a_bounded_window(monkeypatch):
+    """Every segment of the query's path goes through the lattice; long ones commit on the way and keep a short ring."""
+    import numpy as np
+    import pyarrow as pa
+
+    v, m = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(41)
+    long = ["".join(rng.choice("abcdefgh") for _ in range(20_000)), "x" * 900 + "é漢" * 400, "q1" * 30]
+    texts = [*long, prose(rng, 500), None, "", long[0], "漢" * 5 + " b"]
+    seen, rings, inner = [], [], pieces.Lattice.commit
+
+    def commit(self, which, upto):
+        seen.append(int((upto < self.length[which]).sum()))
+        rings.append(self.ring)
+        inner(self, which, upto)
+
+    monkeypatch.setattr(pieces.Lattice, "commit", commit)
+    v.known = (v.known[0].slice(0, 0), v.known[1].slice(0, 0))
+    values, counts = pieces.encode_batch(v, pa.array(texts))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    for i, t in enumerate(texts):
+        assert values[ends[i] : ends[i + 1]].tolist() == m.encode(t or "")
+    assert sum(seen) > 200 and max(rings) <= 20 * v.longest
+    assert pieces.decode_batch(v, values, counts).to_pylist() == [t or "" for t in texts]
+
+
+def test_pieces_agreement_equals_merging():
+    """Two neighbours agree if, and only if, merging what they say gives them back."""
+    import numpy as np
+
+    v = pieces.load()
+    rng = np.random.default_rng(2)
+    names = {k: p for p, k in v.search.items()}
+    some = rng.choice(np.array(list(names)), (2, 3000))
+    short = np.array([k for k, p in names.items() if len(p) <= 3 and p.isascii()])
+    some = np.concatenate([some, rng.choice(short, (2, 3000))], 1)
+    want = [pieces.merged(v, names[a] + names[b]) == [names[a], names[b]] for a, b in some.T.tolist()]
+    assert v.agree(some[0], some[1]).tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_pieces_table(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, IDS string")
     out = {r.doc_id: r for r in pieces.tokenized(df).collect()}
