@@ -11,20 +11,26 @@ tile pairs are skipped.
 
 ``deduplicate`` links documents whose sets of shingles (repeats don't count)
 have a Jaccard similarity of 0.8 or more, counted exactly. Fingerprints of the
-sets, 256 bits wide, only find the candidates, in a radius that a pair of just
-that similarity exceeds by chance alone (``reach``). The sizes of such sets
-have a ratio of 0.8 or more; the tile is the logarithm of the size, hence only
-near tiles are compared. First a spanning forest of the candidates is counted,
-then all candidates between different components of what that confirmed, so
-large groups of near copies don't make all their pairs.
+sets, 256 bits wide, find the candidates, in a radius that a pair of just that
+similarity exceeds by chance alone (``reach``); at that radius population
+counts exclude no tile pair, but the sizes of such sets have a ratio of 0.8 or
+more, so the tile is the logarithm of the size. The comparison of fingerprints
+returns only the sets that have a candidate, never the pairs. Those sets are
+dealt to tiles again, with their shingles, and candidates are counted there
+against an index of the tile's shingles.
 
 In both, distinct fingerprints go to their own tile and, as visitors, to the
 neighbouring tiles with a smaller number, and are compared there with
-exclusive-or and bit counts in numpy. Tiles with many fingerprints are cut into
-chunks, so no task holds more than one chunk and one batch of visitors. Equal
+exclusive-or and bit counts in numpy. Tiles are cut into chunks and visitors
+into slices, so no task holds more than a chunk and a slice. Equal
 fingerprints are grouped before, hence large groups of copies cost nothing. A
-chunk returns a spanning forest of its links, or, of rows with groups, all
-links between different groups.
+task returns a spanning forest of its links.
+
+Defined results: rows of one key are rows of their own (``cluster`` gives both
+the same component; ``deduplicate`` keeps one); equal texts are always linked;
+null keys are never a component's id; very long texts are hashed whole, in
+parts of bounded memory; an empty table gives an empty one; other columns stay
+in ``deduplicate`` whatever their names, and ``cluster`` returns none.
 """
 
 from __future__ import annotations
@@ -41,7 +47,8 @@ from pyspark.sql import functions as F
 from tenorlake.llm.common import col, materialize, unused
 from tenorlake.llm.components import components
 
-CHUNK = 8192
+CHUNK, LEAST = 32_768, 1024  # fingerprints of a tile's chunk, and visitors of a slice: a 16th of all, within these bounds
+SHINGLES = 1 << 20  # shingles that a chunk or a slice holds, if they are dealt too
 SEED = 42
 SIMILARITY = 0.8
 WIDE = 4  # words of 64 bits
@@ -137,161 +144,221 @@ def reach(similarity: float, bits: int) -> int:
     return min(bits, math.floor(bits * p + 4.5 * math.sqrt(bits * p * (1 - p))))
 
 
-def by_counts(radius: int) -> Callable:
-    """Tiles by population counts: (own tile, tiles to visit with -1 for none)."""
-    steps = _around(radius)
-
-    def tile(prints: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.bitwise_count(np.ascontiguousarray(prints[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int64)
-        mine = at @ _PLACE
-        there = at[:, None, :] + steps[None]
-        to = np.where(((there >= 0) & (there <= 16)).all(2), there @ _PLACE, -1)
-        return mine, np.where(to < mine[:, None], to, -1)
-
-    return tile
-
-
-def by_shingles(similarity: float, steps: int = 4) -> Callable:
-    """Tiles by the logarithm of the number of shingles, ``steps`` for a ratio of 1 / similarity: sizes in that ratio are at most ``steps`` tiles apart."""
-    base = -math.log(similarity) / steps
+class ByCounts:
+    """Tiles by population counts of four 16-bit blocks."""
 
-    def tile(_: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mine = np.floor(np.log(np.maximum(shingles, 1)) / base + 1e-9).astype(np.int64) + (shingles > 0)
-        to = mine[:, None] - np.arange(1, steps + 1)[None, :]
-        return mine, np.where((mine > 0)[:, None] & (to > 0), to, -1)
+    size = 17**4
 
-    return tile
+    def __init__(self, radius: int) -> None:
+        self.steps = _around(radius)
 
+    def tile(self, prints: np.ndarray, _: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(np.ascontiguousarray(prints[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int64) @ _PLACE
 
-TILES = 17**4  # no tiling has more, whatever the input: 83,521
+    def visits(self, mine: np.ndarray) -> np.ndarray:
+        """The tiles with a smaller number that a fingerprint of a tile visits, -1 for none."""
+        there = (mine[:, None] // _PLACE % 17)[:, None, :] + self.steps[None]
+        to = np.where(((there >= 0) & (there <= 16)).all(2), there @ _PLACE, -1)
+        return np.where(to < mine[:, None], to, -1)
 
 
-def _near(home: tuple, guests: tuple, screen: int, radius: int, ratio: float) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-    """A few guests at a time, with places of linked ones among them and of what they are linked to.
+class BySize:
+    """Tiles by the logarithm of the number of shingles, ``steps`` for a ratio of 1 / similarity: sizes in that ratio are at most ``steps`` tiles apart."""
 
-    Of ``radius`` differing bits some word has at most ``radius // words``; pairs
-    in which no word differs in at most ``screen`` bits are set aside unseen.
-    """
-    node, prints, shingles = home[:3]
-    columns = [np.ascontiguousarray(prints[:, w]) for w in range(prints.shape[1])]
-    for at in range(0, len(guests[0]), 16):  # 16 rows of a chunk's differences stay in the processor's cache
-        few = tuple(x[at : at + 16] for x in guests)
-        g_node, g_prints, g_shingles = few[:3]
-        seen = np.zeros((len(g_node), len(node)), bool)
-        for w, column in enumerate(columns):
-            seen |= np.bitwise_count(g_prints[:, w][:, None] ^ column[None, :]) <= screen
-        g, h = np.divmod(np.flatnonzero(seen), max(len(node), 1))
-        if prints.shape[1] > 1:
-            ok = np.bitwise_count(g_prints[g] ^ prints[h]).sum(1, dtype=np.int64) <= radius
-            a, b = g_shingles[g], shingles[h]
-            ok &= np.minimum(a, b) >= ratio * np.maximum(a, b) - 1e-9
+    size = 2048
+
+    def __init__(self, similarity: float, steps: int = 4) -> None:
+        self.steps, self.base = steps, -math.log(similarity) / steps
+
+    def tile(self, _: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(np.maximum(shingles, 1)) / self.base + 1e-9).astype(np.int64) + (shingles > 0)
+
+    def visits(self, mine: np.ndarray) -> np.ndarray:
+        to = mine[:, None] - np.arange(1, self.steps + 1)[None, :]
+        return np.where((mine > 0)[:, None] & (to > 0), to, -1)
+
+
+class Home:
+    """A chunk's fingerprints, with the labels of what its links have joined, and an index of its shingles if there are some."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, ...]], sets: list[np.ndarray] | None) -> None:
+        self.node, prints, self.shingles = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.prints = prints
+        self.columns = [np.ascontiguousarray(prints[:, w]) for w in range(prints.shape[1])]
+        self.label, self.flagged = np.arange(len(self.node)), np.zeros(len(self.node), bool)
+        if sets is not None:
+            every = np.concatenate([np.zeros(0, np.uint64), *sets])
+            order = np.argsort(every, kind="stable")
+            self.known, first = np.unique(every[order], return_index=True)
+            self.bounds = np.append(first, len(every))
+            self.owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+
+    def near(self, guests: tuple, screen: int, radius: int, ratio: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Places of guests that are linked, and of what they are linked to in the chunk.
+
+        Of ``radius`` differing bits some word has at most ``radius // words``; pairs
+        in which no word differs in at most ``screen`` bits are set aside unseen.
+        """
+        g_node, g_prints, g_shingles = guests
+        for at in range(0, len(g_node), 16):  # 16 rows of a chunk's differences stay in the processor's cache
+            few = g_prints[at : at + 16]
+            seen = np.zeros((len(few), len(self.node)), bool)
+            for w, column in enumerate(self.columns):
+                seen |= np.bitwise_count(few[:, w][:, None] ^ column[None, :]) <= screen
+            g, h = np.divmod(np.flatnonzero(seen), max(len(self.node), 1))
+            g += at
+            if g_prints.shape[1] > 1:
+                ok = np.bitwise_count(g_prints[g] ^ self.prints[h]).sum(1, dtype=np.int64) <= radius
+                a, b = g_shingles[g], self.shingles[h]
+                ok &= np.minimum(a, b) >= ratio * np.maximum(a, b) - 1e-9
+                g, h = g[ok], h[ok]
+            ok = g_node[g] != self.node[h]
             g, h = g[ok], h[ok]
-        yield few, g, h
+            cuts = np.flatnonzero(np.diff(g)) + 1
+            if len(g):
+                yield from zip(g[[0, *cuts]].tolist(), np.split(h, cuts), strict=True)
 
+    def common(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of shingles that a set has in common with each set of the chunk."""
+        at = np.searchsorted(self.known, hashes)
+        at = at[(at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == hashes)] if len(self.known) else at[:0]
+        lo, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[rows], minlength=len(self.node))
 
-def _compare(home: tuple, guests: tuple, parent: list[int], screen: int, radius: int, ratio: float) -> Iterator[tuple[int, int]]:
-    """Links that join what ``parent`` (a union-find over ``home``) has not joined yet, and one per linked guest."""
+    def join(self, at: np.ndarray) -> np.ndarray:
+        """Join what a guest is linked to; one place of each part that wasn't joined before."""
+        labels, first = np.unique(self.label[at], return_index=True)
+        if len(labels) > 1:
+            self.label[np.isin(self.label, labels)] = labels[0]
+        return at[first]
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    node = home[0]
-    for (g_node, *_), g, h in _near(home, guests, screen, radius, ratio):
-        last = first = -1
-        for i, j in zip(g.tolist(), h.tolist(), strict=True):
-            if i != last:
-                last, first = i, j
-                if g_node[i] != node[j]:
-                    yield int(g_node[i]), int(node[j])
-            elif (x := root(first)) != (y := root(j)):
-                parent[max(x, y)] = min(x, y)
-                yield int(node[first]), int(node[j])
-
-
-def links(prints: DataFrame, words: int, tiling: Callable, screen: int, radius: int, ratio: float = 0.0) -> DataFrame:
-    """(a, b): links between different nodes, as spanning forests per chunk; all linked pairs are connected by the result.
+def links(prints: DataFrame, words: int, tiling: ByCounts | BySize, screen: int, radius: int, ratio: float = 0.0, only_ends: bool = False) -> DataFrame:
+    """(a, b): links between different nodes, as spanning forests per task; all linked pairs are connected by the result.
 
     ``prints``: (node, p0.., shingles), a row for each distinct node, stored. With
-    a column ``group`` the result is all links between different groups instead,
-    once or twice.
+    a column ``hashes`` (the set, sorted) links need that Jaccard ``ratio`` too,
+    counted exactly. ``only_ends``: (a, null) instead, for every node that has a link, once or more.
     """
     if screen < radius // words:
         raise ValueError(f"a screen of {screen} bits a word would lose pairs within {radius} bits")
     spark = prints.sparkSession
-    grouped = "group" in prints.columns
     names = [f"p{i}" for i in range(words)]
-    ends = ["shingles", "group"] if grouped else ["shingles"]
+    whole = "hashes" in prints.columns
+    ends = ["shingles", "hashes"] if whole else ["shingles"]
+    rows = prints.select("node", *names, *ends)
 
     def read(b: pa.RecordBatch, first: int) -> tuple[np.ndarray, ...]:
-        cols = [np.asarray(b.column(i)) for i in range(first, first + words + 1 + len(ends))]
-        return cols[0], np.stack([c.view(np.uint64) for c in cols[1 : words + 1]], 1), *cols[words + 1 :]
+        cols = [np.asarray(b.column(i)) for i in range(first, first + words + 2)]
+        return cols[0], np.stack([c.view(np.uint64) for c in cols[1 : words + 1]], 1), cols[words + 1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TILES, np.int64)
+        total, weight = np.zeros(tiling.size, np.int64), np.zeros(tiling.size, np.int64)
         for b in batches:
-            _, p, s = read(b, 0)[:3]
-            np.add.at(total, tiling(p, s)[0], 1)
+            _, p, s = read(b, 0)
+            np.add.at(total, t := tiling.tile(p, s), 1)
+            np.add.at(weight, t, s)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "n"])
-
-    rows = prints.select("node", *names, *ends)
-    counted = rows.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()  # at most TILES rows
-    chunks = np.zeros(TILES + 1, np.int64)
-    for t, n in counted:
-        chunks[t] = -(-n // CHUNK)
-    shared = spark.sparkContext.broadcast(chunks)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at]), pa.array(weight[at])], names=["t", "n", "w"])
+
+    counted = rows.mapInArrow(count, "t long, n long, w long").groupBy("t").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).collect()  # at most tiling.size rows
+    tiles, number, weight = (np.array(x, np.int64) for x in zip(*counted, strict=True)) if counted else (np.zeros(0, np.int64),) * 3
+    grain = min(CHUNK, max(LEAST, int(number.sum()) // 16))
+    chunks, slices = np.zeros(tiling.size + 1, np.int64), np.zeros(tiling.size + 1, np.int64)  # the last entries are for no tile
+    parts = lambda n, w: np.maximum(-(-n // grain), -(-w // SHINGLES) if whole else 0)
+    chunks[tiles] = parts(number, weight)
+    comes = tiling.visits(tiles)
+    guests = np.zeros((2, tiling.size + 1), np.int64)
+    for k, x in enumerate((number, weight)):
+        np.add.at(guests[k], comes, x[:, None])
+        guests[k][tiles] += np.where(chunks[tiles] > 1, x, 0)
+    slices[tiles] = np.maximum(1, parts(*guests[:, tiles]))
+    shared = spark.sparkContext.broadcast((chunks, slices))  # two numbers for each tile
+
+    def spread(limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and 0 to limit - 1, for all."""
+        row, at = np.nonzero(limit > 0)
+        times = limit[row, at]
+        return np.repeat(row, times), np.repeat(at, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        for b in batches:
-            node, p, s = read(b, 0)[:3]
-            if not len(node):
+        chunks, slices = shared.value
+        for big in batches:
+            for b in (big.slice(at, 512 if whole else 4096) for at in range(0, big.num_rows, 512 if whole else 4096)):
+                node, p, s = read(b, 0)
+                mine = tiling.tile(p, s)
+                mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                chunk = ((mixed >> np.uint64(33)) % chunks[mine].astype(np.uint64)).astype(np.int64)
+                # own chunk, in all its slices; as a visitor in smaller chunks of the own tile, and in all chunks of the tiles to visit
+                home, _, home_slice = spread(slices[mine][:, None])
+                to = np.concatenate([mine[:, None], tiling.visits(mine)], 1)
+                row, at, c = spread(np.concatenate([chunk[:, None], chunks[to[:, 1:]]], 1))
+                t = to[row, at]
+                slice_ = ((mixed[row] & np.uint64(0xFFFFFFFF)) % slices[t].astype(np.uint64)).astype(np.int64)
+                role = np.repeat(np.array([0, 1], np.int8), [len(home), len(row)])
+                keys = [np.concatenate([mine[home], t]), np.concatenate([chunk[home], c]), np.concatenate([home_slice, slice_]), role]
+                every = pa.array(np.concatenate([home, row]))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *(b.column(i).take(every) for i in range(words + 1 + len(ends)))], names=["tile", "chunk", "slice", "role", "node", *names, *ends])
+
+    def found(home: Home, part: tuple, sets: list[np.ndarray] | None) -> Iterator[tuple[int, int | None]]:
+        for g, at in home.near(part, screen, radius, ratio):
+            node = int(part[0][g])
+            if only_ends:
+                new = at[~home.flagged[at]]
+                home.flagged[new] = True
+                yield from ((n, None) for n in (node, *home.node[new].tolist()))
                 continue
-            mine, visits = tiling(p, s)
-            chunk = (((node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % number[mine].astype(np.uint64)).astype(np.int64)
-            # own chunk; smaller chunks of the own tile; all chunks of the tiles to visit
-            to = np.concatenate([mine[:, None], visits], 1)
-            limit = np.concatenate([chunk[:, None], number[visits]], 1)
-            row, at = np.nonzero(limit > 0)
-            times = limit[row, at]
-            row, t = np.repeat(row, times), np.repeat(to[row, at], times)
-            c = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            role = np.repeat(np.array([0, 1], np.int8), [len(node), len(row)])
-            row, t, c = np.concatenate([np.arange(len(node)), row]), np.concatenate([mine, t]), np.concatenate([chunk, c])
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(role), *(pa.array(np.asarray(b.column(i))[row]) for i in range(words + 1 + len(ends)))], names=["tile", "chunk", "role", "node", *names, *ends])
+            if sets is not None:
+                both = home.common(sets[g])[at]
+                at = at[both >= ratio * (home.shingles[at] + part[2][g] - both) - 1e-9]
+            if len(at):
+                yield from ((node, b) for b in home.node[home.join(at)].tolist())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, at, parent = None, None, []
+        at, home, waiting = None, None, []
         for b in batches:
-            t, c, r = (np.asarray(b.column(i)).astype(np.int64) for i in range(3))
-            every = read(b, 3)
-            cuts = np.flatnonzero((np.diff(t) != 0) | (np.diff(c) != 0) | (np.diff(r) != 0)) + 1
-            found: list[tuple[int, int]] = []
-            for lo, hi in zip([0, *cuts], [*cuts, len(t)], strict=True):
+            keys = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(4)], 1)
+            every = read(b, 4)
+            held = [np.frombuffer(x, np.uint64) for x in b.column(words + 6).to_pylist()] if whole else None
+            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1
+            pairs: list[tuple[int, int | None]] = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 if lo == hi:
                     continue
-                key, part = (t[lo], c[lo]), tuple(x[lo:hi] for x in every)
-                if r[lo] == 0:  # the tile's own come first; a batch may end among them
-                    if key != at:
-                        home, at, parent = part, key, list(range(hi - lo))
-                    else:
-                        home = tuple(np.concatenate(x) for x in zip(home, part, strict=True))
-                        parent += range(len(parent), len(home[0]))
-                if key == at and grouped:
-                    for few, g, h in _near(home, part, screen, radius, ratio):
-                        apart = few[3][g] != home[3][h]
-                        if apart.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(few[0][g[apart]]), pa.array(home[0][h[apart]])], names=["a", "b"])
-                elif key == at:
-                    found += _compare(home, part, parent, screen, radius, ratio)
-            pairs = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    dealt = rows.mapInArrow(deal, ", ".join(["tile long", "chunk long", "role byte", "node long", *(f"{n} long" for n in [*names, *ends])]))
-    return dealt.repartition("tile", "chunk").sortWithinPartitions("tile", "chunk", "role").mapInArrow(compare, "a long, b long")
+                key, part = tuple(keys[lo, :3]), tuple(x[lo:hi] for x in every)
+                sets = held[lo:hi] if whole else None
+                if key != at:
+                    pairs += own(waiting, at, found)
+                    at, home, waiting = key, None, []
+                if keys[lo, 3] == 0:  # the tile's own come first; a batch may end among them
+                    waiting.append((part, sets))
+                    continue
+                if home is None:
+                    home = gathered(waiting)
+                    pairs += own(waiting, at, found, home)
+                    waiting = []
+                if home is not None:
+                    pairs += found(home, part, sets)
+            yield _links(pairs)
+        yield _links(list(own(waiting, at, found)))
+
+    def gathered(waiting: list) -> Home | None:
+        return Home([p for p, _ in waiting], [x for _, s in waiting for x in s] if whole else None) if waiting else None
+
+    def own(waiting: list, at: tuple | None, found: Callable, home: Home | None = None) -> Iterator[tuple[int, int | None]]:
+        """Links among the chunk's own, looked for in its first slice."""
+        if waiting and at[2] == 0:
+            home = home or gathered(waiting)
+            for part, sets in waiting:
+                yield from found(home, part, sets)
+
+    dealt = rows.mapInArrow(deal, ", ".join(["tile long, chunk long, slice long, role byte, node long", *(f"{n} {'binary' if n == 'hashes' else 'long'}" for n in [*names, *ends])]))
+    return dealt.repartition("tile", "chunk", "slice").sortWithinPartitions("tile", "chunk", "slice", "role").mapInArrow(compare, "a long, b long")
+
+
+def _links(pairs: list[tuple[int, int | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _firsts(prints: DataFrame, key: str, words: int, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -308,32 +375,23 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: in
     """One row per document: key, fingerprint (16 hex digits), component_id (smallest key of its component; null keys are no candidates)."""
     made = fingerprints(docs.select(col(key).alias(key), col(text).alias("__text")), "__text", width)
     prints = materialize(made.withColumn("node", F.col("p0")), "simhash-prints")
-    first = _firsts(prints, key, 1, lambda once: links(once, 1, by_counts(radius), radius, radius))
+    first = _firsts(prints, key, 1, lambda once: links(once, 1, ByCounts(radius), radius, radius))
     # hex() of a long is its unsigned form
     return prints.join(first, "node").select(col(key), F.lpad(F.lower(F.hex("p0")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets of shingles have that Jaccard similarity or more; ``texts``: (node, text)."""
+def _sets(df: DataFrame, text: str, width: int) -> DataFrame:
+    """``df`` with ``text`` replaced by ``hashes``: its set of shingles, sorted."""
+    keep = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = [(None, None), (None, None)]  # rows of one node follow each other
-        for b in batches:
-            ends = [b.column(i).to_pylist() for i in range(2)]
-            sides = [b.column(i).cast(pa.binary()) for i in (2, 3)]
-            ok = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                for k in range(2):
-                    if held[k][0] != ends[k][i]:
-                        held[k] = ends[k][i], shingle_set(sides[k][i].as_py(), width)
-                x, y = held[0][1], held[1][1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
-            at = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(at) for i in range(2)], names=["a", "b"])
-
-    side = lambda n, t: texts.select(F.col("node").alias(n), F.col("text").alias(t))
-    return pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+        for big in batches:
+            for b in (big.slice(at, 512) for at in range(0, big.num_rows, 512)):
+                sets = [shingle_set(t.as_py(), width).tobytes() for t in b.column(text).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sets, pa.binary())], names=[*keep, "hashes"])
+
+    schema = df.select(*keep, F.lit(b"").alias("hashes")).schema
+    return df.select(*keep, text).mapInArrow(run, schema)
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, width: int = 5) -> DataFrame:
@@ -346,19 +404,13 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__row").alias("r"))
     prints = materialize(made.select("node", order.alias("__order"), *names, "shingles"), "simhash-prints")
 
-    def confirmed(prints: DataFrame, once: DataFrame) -> DataFrame:
-        near = links(prints, WIDE, by_shingles(similarity), radius // WIDE, radius, similarity)
-        pairs = materialize(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "simhash-candidates")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        of = once.join(ends, "node", "left_semi").select("node", F.col("first.r").alias("__at"))
-        texts = rows.select(F.col(row).alias("__at"), col(text).alias("text")).join(of, "__at").select("node", "text")
-        return materialize(similar(pairs, materialize(texts, "simhash-texts"), width, similarity), "simhash-links")
-
     def linked(once: DataFrame) -> DataFrame:
-        forest = confirmed(once, once)
-        roots = components(forest).withColumnRenamed("node", "__node")
-        groups = materialize(once.join(roots, F.col("node") == F.col("__node"), "left").select("node", *names, "shingles", F.coalesce("root", "node").alias("group")), "simhash-groups")
-        return forest.unionByName(confirmed(groups, once))
+        ends = links(once, WIDE, BySize(similarity), radius // WIDE, radius, similarity, only_ends=True).select(F.col("a").alias("node")).distinct()
+        some = once.join(materialize(ends, "simhash-candidates"), "node", "left_semi").withColumn(row, F.col("first.r")).drop("first")
+        texts = rows.select(col(row), col(text).alias("__text")).join(materialize(some, "simhash-some"), row).drop(row)
+        sets = materialize(_sets(texts, "__text", width), "simhash-sets")
+        # a set goes to two tiles only: that costs comparisons of few sets, and saves copies of their shingles
+        return links(sets, WIDE, BySize(similarity, 1), radius // WIDE, radius, similarity)
 
     first = _firsts(prints, "__order", WIDE, linked)
     stays = materialize(first.select(F.col("first.r").alias(row)).distinct(), "simhash-stays")

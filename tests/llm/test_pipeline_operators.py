@@ -299,7 +299,7 @@ def test_simhash_links_are_exact(spark, monkeypatch):
     values = sorted(values)
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     table = spark.createDataFrame([(s, s, 1) for s in signed], "node long, p0 long, shingles long").repartition(3)
-    got = [(signed.index(r.a), signed.index(r.b)) for r in simhash.links(table, 1, simhash.by_counts(2), 2, 2).collect()]
+    got = [(signed.index(r.a), signed.index(r.b)) for r in simhash.links(table, 1, simhash.ByCounts(2), 2, 2).collect()]
     near = [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 2]
     assert all((max(x), min(x)) in set(near) for x in got)
     assert plain_components(len(values), got) == plain_components(len(values), near)
@@ -319,10 +319,10 @@ def test_simhash_wide_links_are_exact(spark, monkeypatch):
     rows = [(i, *(signed((v >> 64 * w) % 2**64) for w in range(4)), 100) for i, v in enumerate(values)]
     table = spark.createDataFrame(rows, "node long, p0 long, p1 long, p2 long, p3 long, shingles long").repartition(3)
     near = [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 51]
-    got = [(r.a, r.b) for r in simhash.links(table, 4, simhash.by_shingles(0.8), 12, 51, 0.8).collect()]
+    got = [(r.a, r.b) for r in simhash.links(table, 4, simhash.BySize(0.8), 12, 51, 0.8).collect()]
     assert len(near) == 42 and {(max(x), min(x)) for x in got} == set(near)
     with pytest.raises(ValueError):
-        simhash.links(table, 4, simhash.by_shingles(0.8), 11, 51, 0.8)
+        simhash.links(table, 4, simhash.BySize(0.8), 11, 51, 0.8)
 
 
 def test_simhash_deduplicate(spark):
@@ -344,6 +344,33 @@ def test_simhash_deduplicate(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_simhash_group_of_near_copies(spark, monkeypatch):
+    """Many edits of one text, most pairs of them below 0.8: nothing but ends and a forest comes out, and the kept rows equal brute force."""
+    monkeypatch.setattr(simhash, "CHUNK", 40)
+    monkeypatch.setattr(simhash, "SHINGLES", 9000)
+    rng = random.Random(37)
+    base, texts = prose(rng, 150, 100000).split(), []
+    for _ in range(220):
+        copy = list(base)
+        for _ in range(rng.randrange(12)):
+            copy[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy[: rng.randrange(120, 151)]))
+    of = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = [(a, b) for a in range(220) for b in range(a) if len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])]
+    made, inner = [], simhash.links
+
+    def links(*a, **k):
+        made.append(simhash.materialize(inner(*a, **k), "test-links"))
+        return made[-1]
+
+    monkeypatch.setattr(simhash, "links", links)
+    out = {r.doc_id for r in simhash.deduplicate(make(spark, [(i, t, None) for i, t in enumerate(texts)]).repartition(3)).collect()}
+    root = plain_components(220, near)
+    assert out == set(root) and 5 < len(out) < 215
+    ends, forest = made
+    assert ends.where("b is not null").count() == 0 and forest.count() < 3 * 220 < len(near)
+
+
 def test_simhash_deduplicate_counts_shingles(spark, monkeypatch):
     """Against brute force over sets of shingles: similarities around 0.8, chains of copies, repeated lines."""
     monkeypatch.setattr(simhash, "CHUNK", 16)
