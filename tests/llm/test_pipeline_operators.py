@@ -191,6 +191,48 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def plain_kneser_ney(texts):
+    """texts: (words, class). Probabilities of every word, None for an unknown one, in both classes."""
+    pairs = [{p for ws, c in texts if c == k for p in zip(["", *ws], ws, strict=False)} for k in (0, 1)]
+    both = pairs[0] | pairs[1]
+    vocabulary = sorted({w for _, w in both})
+    out = []
+    for own in pairs:
+        after = {w: len({v for v, x in own if x == w}) for w in vocabulary}
+        ones, twos = (sum(n == k for n in after.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos)
+        free = sum(min(n, d) for n in after.values())
+        shared = {w: (len({v for v, x in both if x == w}) + 1) / (len(both) + len(vocabulary) + 1) for w in [*vocabulary, None]}
+        out.append({w: (max(after.get(w, 0) - d, 0) + free * shared[w]) / len(own) for w in [*vocabulary, None]})
+    return out
+
+
+def test_toxicity_models_equal_the_definition(spark):
+    import math
+
+    import pyarrow as pa
+
+    rng = random.Random(43)
+    texts = [([f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(30))] + ["oaf"] * (i % 3 == 0), int(i % 3 == 0)) for i in range(50)]
+    rows = spark.createDataFrame([(" ".join(ws).encode(), c) for ws, c in texts], "text binary, toxic int").repartition(3)
+    model = toxicity._kneser_ney(toxicity._class_counts(rows))
+    want = plain_kneser_ney(texts)
+    assert [sum(p.values()) for p in want] == pytest.approx([1, 1])
+    ratio = {w: math.log(want[1][w]) - math.log(want[0][w]) for w in want[0]}
+    known = [w.decode() for w in model.words.to_pylist()]
+    assert sorted(known) == sorted(w for w in ratio if w is not None)
+    assert model.word.tolist() == pytest.approx([ratio[w] for w in [*known, None]])
+    for share, pad, distinct in ((1.0, 0, False), (0.01, 30, True), (0.1, 10, False)):
+        model.share, model.pad, model.distinct = share, pad, distinct
+        some = ["W1 w2,w2 oaf", "", None, "?!", "new w3 new other w3", "w1 " * 9]
+        for text, got in zip(some, model.evidence(pa.array([t and t.encode() for t in some], pa.large_binary())).tolist(), strict=True):
+            ws = re.findall(r"[a-z0-9]+", (text or "").lower())
+            ws = [w if w in ratio else None for w in ws]
+            ws = list(dict.fromkeys(ws)) if distinct else ws
+            lift = sum(math.log(share * want[1][w] + (1 - share) * want[0][w]) - math.log(want[0][w]) for w in ws)
+            assert got == pytest.approx(lift / max(len(ws) + pad, 1), abs=1e-12)
+
+
 # --- personal data
 
 PLAIN = {
