@@ -48,7 +48,7 @@ from tenorlake.llm.common import col, without
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 KNOWN = 400_000  # segments remembered by a worker
-PAIRS = 1 << 20  # answers about two neighbours remembered by a worker
+PAIRS = (1 << 20) - 1  # answers about two neighbours remembered by a worker
 LANES = 16_384  # segments searched side by side
 BLOCK = 8 << 20  # bytes of text segmented at once
 UNKNOWN, BEGIN, CLOSED = -1, -2, -3  # instead of the piece that ends at a boundary: a character outside the vocabulary, the text's beginning, no path
@@ -58,7 +58,7 @@ class Table:
     """Numbers by numbers of 0 or more, in numpy: open addressing with linear steps, less than half full."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0) -> None:
-        self.shift = np.uint64(64 - max(4, int(2 * max(len(keys), room) + 1).bit_length()))
+        self.shift = np.uint64(64 - max(4, int(2 * max(len(keys), room)).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.last = size - 1
         self.keys, self.values, self.used = np.full(size, -1, np.int64), np.zeros(size, np.int32), 0
@@ -152,11 +152,13 @@ class Vocabulary:
                 if a is not None and b is not None:
                     made[a * size + b] = k
         self.made = Table(np.array(list(made), np.int64), np.array(list(made.values()), np.int32))
-        self.agreed = Table(np.zeros(0, np.int64), np.zeros(0, np.int32), PAIRS)
+        self.agreed: Table | None = None  # made by each worker
 
     def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each two pieces are the encoding of what they say together."""
         keys = a.astype(np.int64) * len(self.scores) + b
+        if self.agreed is None:
+            self.agreed = Table(np.zeros(0, np.int64), np.zeros(0, np.int32), PAIRS)
         out = self.agreed.get(keys)
         asked = np.flatnonzero(out == -1)
         if len(asked):
