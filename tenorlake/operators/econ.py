@@ -131,9 +131,20 @@ def within(df: DataFrame, columns: list[str], effects: tuple[str, ...]) -> DataF
     return df
 
 
-def panel_ols(df: DataFrame, y: str, xs: list[str], group: str | None = None, effects: tuple[str, ...] = (), cluster: str = "quote_date", least: int = 30) -> DataFrame:
+def _wald(m: np.ndarray, b: np.ndarray, v: np.ndarray) -> float:
+    """F of the restrictions m b = 0; NaN if they depend on each other."""
+    inner = m @ v @ m.T
+    if np.linalg.matrix_rank(inner, hermitian=True) < len(m):
+        return np.nan
+    return float((m @ b) @ np.linalg.solve(inner, m @ b)) / len(m)
+
+
+def panel_ols(df: DataFrame, y: str, xs: list[str], group: str | None = None, effects: tuple[str, ...] = (), cluster: str = "quote_date", least: int = 30, restrictions: dict[str, list[dict[str, float]]] | None = None) -> DataFrame:
     """(group, term, coef, se, t, p, r2_adj, n, clusters, wald_f): OLS after within-demeaning, errors clustered by ``cluster``.
 
+    With ``restrictions`` (name -> rows of weights by term, each row's weighted sum being 0 under the null) the result is
+    (group, test, f, df1, df2, p): the Wald tests R beta = 0; NULL where a test's rows are dependent.
+
     Correction G / (G - 1) (n - 1) / (n - k). ``wald_f`` tests all terms but the constant. Groups with fewer than ``least`` rows, or singular ones, give no row.
     All sums are distributed; per group only k x k matrices reach a Python function.
     """
@@ -162,18 +173,21 @@ def panel_ols(df: DataFrame, y: str, xs: list[str], group: str | None = None, ef
         r = pdf.iloc[0]
         inv, b, n, g = np.array(r.inverse).reshape(k, k), np.array(r.beta), int(r.n), int(r.clusters)
         v = inv @ _square(r, k) @ inv * (g / max(g - 1, 1)) * ((n - 1) / max(n - k, 1))
+        if restrictions:
+            tests = [(name, np.array([[row.get(x, 0.0) for x in ["const", *xs]] for row in rows])) for name, rows in restrictions.items()]
+            return pd.DataFrame({"group": r["__group"], "test": [name for name, _ in tests], "f": [_wald(m, b, v) for _, m in tests], "df1": [len(m) for _, m in tests], "df2": g - 1})
         se = np.sqrt(np.maximum(np.diag(v), 0))
         t = np.divide(b, se, out=np.full(k, np.nan), where=se > 0)
         sst = r.syy - r.sy**2 / n
         adj = 1 - (r.ssr / max(n - k, 1)) / (sst / (n - 1)) if sst > 0 else np.nan
-        try:
-            wald = float(b[1:] @ np.linalg.solve(v[1:, 1:], b[1:])) / (k - 1) if k > 1 else np.nan
-        except np.linalg.LinAlgError:
-            wald = np.nan
+        wald = _wald(np.eye(k)[1:], b, v) if k > 1 else np.nan
         return pd.DataFrame({"group": r["__group"], "term": ["const", *xs], "coef": b, "se": se, "t": t, "df": g - 1, "r2_adj": adj, "n": n, "clusters": g, "wald_f": wald})
 
-    out = meat.join(beta, "__group").groupBy("__group").applyInPandas(table, "group string, term string, coef double, se double, t double, df long, r2_adj double, n long, clusters long, wald_f double")
     null = lambda name: F.nanvl(name, F.lit(None).cast("double"))
+    if restrictions:
+        tests = meat.join(beta, "__group").groupBy("__group").applyInPandas(table, "group string, test string, f double, df1 long, df2 long")
+        return tests.select("group", "test", null("f").alias("f"), "df1", "df2", null(f_pvalue(F.col("f"), F.col("df1").cast("double"), F.col("df2").cast("double"))).alias("p"))
+    out = meat.join(beta, "__group").groupBy("__group").applyInPandas(table, "group string, term string, coef double, se double, t double, df long, r2_adj double, n long, clusters long, wald_f double")
     return out.select("group", "term", "coef", "se", null("t").alias("t"), null(t_pvalue(F.col("t"), F.col("df").cast("double"))).alias("p"), null("r2_adj").alias("r2_adj"), "n", "clusters", null("wald_f").alias("wald_f"))
 
 
@@ -230,20 +244,99 @@ def arch_lm(df: DataFrame, x: str, keys: tuple[str, ...], order: str, lags: int
     return n.join(out, "key").select("key", (F.col("n") * F.col("r2")).alias("lm"))
 
 
-def unit_root(df: DataFrame, x: str, key: str, order: str, lags: int = 1) -> DataFrame:
-    """(key, adf_t): Dickey-Fuller t of the level in a regression of differences, with ``lags`` lagged differences."""
-    w = W.partitionBy(key).orderBy(order)
-    d = df.select(key, order, F.lag(x).over(w).alias("level"), (F.col(x) - F.lag(x).over(w)).alias("d"))
-    d = d.select("*", *(F.lag("d", k).over(w).alias(f"d{k}") for k in range(1, lags + 1))).dropna()
+def partial_autocorrelation(acf: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, lag, pacf) from (keys, lag, acf) of lags 1, 2, ..: the last coefficient of the Yule-Walker equations of each order, by Durbin's recursion.
+
+    A key's autocorrelations, as many as its lags, meet in one row.
+    """
+    every = acf.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"]).alias("r"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+    def step(state: Column, k: Column) -> Column:
+        phi, back = state["phi"], F.reverse(F.slice(F.col("r"), 1, F.size(state["phi"])))
+        last = div(F.get(F.col("r"), k) - dot(phi, back), 1 - dot(phi, F.slice(F.col("r"), 1, F.size(phi))))
+        grown = F.concat(F.zip_with(phi, F.reverse(phi), lambda a, b: a - last * b), F.array(last))
+        return F.struct(grown.alias("phi"), F.concat(state["out"], F.array(last)).alias("out"))
+
+    none = F.array().cast("array<double>")
+    out = F.aggregate(F.sequence(F.lit(0), F.size("r") - 1), F.struct(none.alias("phi"), none.alias("out")), step)["out"]
+    return every.select(*keys, F.posexplode(out).alias("lag", "pacf")).withColumn("lag", (F.col("lag") + 1).cast("int"))
+
+
+# Critical values of the level test and their tail probabilities (Kwiatkowski and others, 1992).
+KPSS_LEVEL = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+
+
+def kpss(df: DataFrame, x: str, keys: tuple[str, ...], order: str, lags: int | None = None, most: int = 60) -> DataFrame:
+    """(keys, kpss, p, lags, n): the test of stationarity around a level.
+
+    ``lags`` of the Bartlett window: None chooses them from the data (Hobijn and
+    others, 1998), ``most`` at most. p is interpolated and lies in 0.01 to 0.10. A constant series gives NULLs.
+    """
+    w = W.partitionBy(*keys)
+    u = df.where(F.col(x).isNotNull()).select(*keys, order, (F.col(x) - F.avg(x).over(w)).alias("u"))
+    run = u.select(*keys, "u", F.sum("u").over(w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)).alias("s"))
+    base = run.groupBy(*keys).agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("u") * F.col("u")).alias("uu"), F.count("*").alias("n"))
+    acf = autocorrelation(df, x, keys, order, most).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda v: F.coalesce(v["acf"], F.lit(0.0))).alias("r"))
+    total = lambda upto, weight: F.aggregate(F.transform(F.slice("r", F.lit(1), upto), lambda v, i: v * weight(i + 1)), F.lit(0.0), lambda a, v: a + v)
+    few = F.floor(F.pow("n", F.lit(2 / 9))).cast("int")
+    slope = div(2 * total(few, lambda i: i.cast("double")), 1 + 2 * total(few, lambda i: F.lit(1.0)))
+    auto = F.floor(F.lit(1.1447) * F.pow(slope * slope, F.lit(1 / 3)) * F.pow("n", F.lit(1 / 3)))
+    chosen = F.lit(lags) if lags is not None else F.least(auto, F.col("n") - 1, F.lit(most))
+    wide = base.join(acf, list(keys)).withColumn("lags", F.coalesce(chosen, F.lit(0)).cast("int"))
+    spread = F.col("uu") / F.col("n") * (1 + 2 * total(F.col("lags"), lambda i: 1 - i / (F.col("lags") + 1)))
+    wide = wide.withColumn("kpss", div(F.col("ss") / (F.col("n") * F.col("n")), spread))
+    p = F.lit(KPSS_LEVEL[-1][1])
+    for (a, pa), (b, pb) in reversed(list(zip(KPSS_LEVEL, KPSS_LEVEL[1:], strict=False))):
+        p = F.when(F.col("kpss") < b, pa + (F.col("kpss") - a) / (b - a) * (pb - pa)).otherwise(p)
+    p = F.when(F.col("kpss") < KPSS_LEVEL[0][0], KPSS_LEVEL[0][1]).otherwise(p)
+    return wide.select(*keys, "kpss", F.when(F.col("kpss").isNotNull(), p).alias("p"), "lags", "n")
+
+
+# Response surface of the test with a constant (MacKinnon, 1994): the argument's polynomial below and above the bend.
+ADF_BEND, ADF_LOW, ADF_HIGH = -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_LEAST, ADF_MOST = -18.83, 2.74
+
+
+def adf_pvalue(t: Column | str) -> Column:
+    """Approximate probability of a smaller Dickey-Fuller t under a unit root."""
+    t = c(t)
+    poly = lambda ks: sum((F.lit(k) * F.pow(t, F.lit(float(i))) for i, k in enumerate(ks)), F.lit(0.0))
+    z = F.when(t <= ADF_BEND, poly(ADF_LOW)).otherwise(poly(ADF_HIGH))
+    below = lambda v: F.when(v < 0, normal_pvalue(v) / 2).otherwise(1 - normal_pvalue(v) / 2)
+    return F.when(t < ADF_LEAST, 0.0).when(t > ADF_MOST, 1.0).otherwise(below(z))
+
+
+def _adf(y: np.ndarray, lags: int, rows: int) -> tuple[float, float]:
+    """t of the level and AIC of the regression with that many lagged differences, over the last ``rows`` differences."""
+    d = np.diff(y)
+    v = d[len(d) - rows :]
+    x = np.column_stack([np.ones(rows), y[-rows - 1 : -1], *(d[len(d) - rows - i : len(d) - i] for i in range(1, lags + 1))])
+    if rows <= x.shape[1] or np.linalg.matrix_rank(x) < x.shape[1]:
+        return np.nan, np.inf
+    inv = np.linalg.inv(x.T @ x)
+    b = inv @ x.T @ v
+    ssr = float(((v - x @ b) ** 2).sum())
+    if ssr <= 0:
+        return np.nan, np.inf
+    return b[1] / math.sqrt(ssr / (rows - x.shape[1]) * inv[1, 1]), rows * (math.log(2 * math.pi * ssr / rows) + 1) + 2 * x.shape[1]
+
+
+def unit_root(df: DataFrame, x: str, key: str, order: str, lags: int | None = None) -> DataFrame:
+    """(key, adf_t, p, lags, n): Dickey-Fuller t of the level in a regression of differences on it, a constant and lagged differences.
+
+    ``lags`` None: those of the least AIC among 0 to 12 (n / 100)^(1/4), compared over the same rows. A task holds one series; short or constant ones give NULLs.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs = np.column_stack([np.ones(len(pdf)), pdf[["level", *(f"d{k}" for k in range(1, lags + 1))]].to_numpy(float)])
-        v = pdf.d.to_numpy(float)
-        if len(v) <= xs.shape[1] or np.linalg.matrix_rank(xs) < xs.shape[1]:
-            return pd.DataFrame({"key": [str(pdf[key].iloc[0])], "adf_t": [None]}).astype({"adf_t": float})
-        inv = np.linalg.inv(xs.T @ xs)
-        b = inv @ xs.T @ v
-        s2 = ((v - xs @ b) ** 2).sum() / (len(v) - xs.shape[1])
-        return pd.DataFrame({"key": [str(pdf[key].iloc[0])], "adf_t": [b[1] / math.sqrt(s2 * inv[1, 1])]})
-
-    return d.groupBy(key).applyInPandas(run, "key string, adf_t double")
+        y = pdf.dropna(subset=[x]).sort_values(order)[x].to_numpy(float)
+        n, best = len(y), lags
+        if best is None:
+            most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+            tried = [_adf(y, k, n - 1 - most)[1] for k in range(most + 1)]
+            best = int(np.argmin(tried)) if tried else 0
+        t = _adf(y, best, n - 1 - best)[0] if n - 1 - best > 0 else np.nan
+        return pd.DataFrame({"key": [str(pdf[key].iloc[0])], "adf_t": [t], "lags": [best], "n": [max(n - 1 - best, 0)]})
+
+    out = df.select(key, order, x).groupBy(key).applyInPandas(run, "key string, adf_t double, lags int, n long").withColumn("adf_t", F.nanvl("adf_t", F.lit(None).cast("double")))
+    return out.select("key", "adf_t", F.when(F.col("adf_t").isNotNull(), adf_pvalue("adf_t")).alias("p"), "lags", "n")

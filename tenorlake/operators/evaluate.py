@@ -117,6 +117,16 @@ def extremes(df: DataFrame, x: str, k: int, keys: tuple[str, ...], tie: tuple[st
     return df.where(F.col(x).isNotNull()).withColumn("position", F.when(up <= k, -1).when(up > n - k, 1).otherwise(0))
 
 
+def pnl_matrix(rules: dict[str, DataFrame], pnl: str, family: str, bar: str, date: str, least: int = 10) -> DataFrame:
+    """(rule, family, bar, n, mean_bps, t_nw): mean and Newey-West t of the daily sums of P&L by family and bar; NULL below ``least`` days."""
+    every = None
+    for name, df in rules.items():
+        one = df.groupBy(F.lit(name).alias("rule"), family, bar, date).agg(F.sum(pnl).alias("s"))
+        every = one if every is None else every.unionByName(one)
+    t = econ.newey_west(every, "s", ("rule", family, bar), date, least=least)
+    return t.select("rule", family, bar, "n", F.when(F.col("n") >= least, F.col("mean") * 1e4).alias("mean_bps"), "t_nw")
+
+
 def threshold_rule(x: str, bound: float) -> Column:
     return F.when(F.abs(x) >= bound, F.signum(x)).otherwise(0.0)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tenorlake.functions.nulls import corr, div
+from tenorlake.functions.nulls import corr, div, kurt
 from tenorlake.operators.joins import pairs
 
 
@@ -41,8 +41,10 @@ def vectors(panel: DataFrame, x: str = "r") -> DataFrame:
 def gram(df: DataFrame, v: str, n: int, weight: Column | None = None) -> DataFrame:
     """(i, j, g): sums of products of the vector's components, i <= j; a distributed aggregate with n (n + 1) / 2 rows per task."""
     w = F.lit(1.0) if weight is None else weight
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (w * F.col(v)[i] * F.col(v)[j]).alias("g")) for i in range(n) for j in range(i, n)))).alias("c")
-    return df.select(cells).groupBy("c.i", "c.j").agg(F.sum("c.g").alias("g"))
+    upto = lambda a: F.sequence(a, F.lit(n - 1))
+    cells = F.flatten(F.transform(upto(F.lit(0)), lambda i: F.transform(upto(i), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get("__w", i) * F.get(v, j)).alias("g")))))
+    rows = df.select(v, F.transform(v, lambda x: w * x).alias("__w")).select(F.explode(cells).alias("c"))
+    return rows.groupBy("c.i", "c.j").agg(F.sum("c.g").alias("g"))
 
 
 def descending(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +84,17 @@ def _by_blocks(vecs: DataFrame, length: int, fn, schema: str) -> DataFrame:
     return spread.groupBy("__block").applyInPandas(run, schema)
 
 
+def _window_models(t, date, v, first, last, length: int, tau_fast: float, tau_slow: float, p: int, m: int) -> list[tuple]:
+    """A row of ``_MODEL`` for each date of a block that has ``length`` rows before it."""
+    out = []
+    for i in range(length, len(t)):
+        if first <= t[i] < last:
+            s = two_stage(v[i - length : i], tau_fast, tau_slow, p, m)
+            f = (s["loadings"] / s["sigma"][:, None] ** 2).T @ v[i]
+            out.append((t[i], date[i], date[i - length], date[i - 1], v[i], [list(c) for c in s["loadings"].T], f, s["sigma"], s["lambda_raw"], s["lambda_corr"], s["shrunk"]))
+    return out
+
+
 def rolling_models(vecs: DataFrame, length: int = 252, tau_fast: float = 21, tau_slow: float = 126, p: int = 3, m: int = 3) -> DataFrame:
     """A row for each date with ``length`` rows before it: the model of [t - T, t - 1] and the date's vector, with aligned signs.
 
@@ -89,17 +102,34 @@ def rolling_models(vecs: DataFrame, length: int = 252, tau_fast: float = 21, tau
     """
 
     def run(t, date, v, first, last) -> pd.DataFrame:
-        out = []
-        for i in range(len(t)):
-            if i < length or not first <= t[i] < last:
-                continue
-            s = two_stage(v[i - length : i], tau_fast, tau_slow, p, m)
-            f = (s["loadings"] / s["sigma"][:, None] ** 2).T @ v[i]
-            out.append((t[i], date[i], date[i - length], date[i - 1], v[i], [list(c) for c in s["loadings"].T], f, s["sigma"], s["lambda_raw"], s["lambda_corr"], s["shrunk"]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _MODEL.split(", ")])
+        return pd.DataFrame(_window_models(t, date, v, first, last, length, tau_fast, tau_slow, p, m), columns=[c.split()[0] for c in _MODEL.split(", ")])
+
+    return _aligned(_by_blocks(vecs, length, run, _MODEL), m)
+
+
+def rolling_grid(vecs: DataFrame, specs: list[tuple]) -> DataFrame:
+    """``rolling_models`` of all specifications (T, tau_fast, tau_slow, p, m) in one pass, with their place as ``spec``.
 
-    raw = _by_blocks(vecs, length, run, _MODEL)
-    order = W.orderBy("t")
+    A task holds one block of dates for one specification.
+    """
+    lengths = F.array(*(F.lit(s[0]) for s in specs))
+    each = vecs.select("*", F.posexplode(lengths).alias("spec", "__length")).withColumn("__size", F.greatest("__length", F.lit(64)))
+    block = F.floor(F.col("t") / F.col("__size"))
+    spread = each.withColumn("__block", F.explode(F.sequence(block, F.floor((F.col("t") + F.col("__length")) / F.col("__size")))))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        spec, block, size = key[0], key[1], max(specs[key[0]][0], 64)
+        pdf = pdf.sort_values("t")
+        rows = _window_models(pdf.t.to_numpy(), pdf.date.to_numpy(), np.array(pdf.v.tolist(), float), block * size, (block + 1) * size, *specs[spec])
+        return pd.DataFrame([(spec, *r) for r in rows], columns=["spec", *(c.split()[0] for c in _MODEL.split(", "))])
+
+    raw = spread.select("spec", "__block", "t", "date", "v").groupBy("spec", "__block").applyInPandas(run, "spec int, " + _MODEL)
+    return _aligned(raw, max(s[-1] for s in specs), ("spec",))
+
+
+def _aligned(raw: DataFrame, m: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Signs that follow the date before, in each of ``keys``; fitted and residual vectors."""
+    order = W.partitionBy(*keys).orderBy("t")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     before = F.lag("b").over(order)
     d = F.zip_with("b", before, dot)
@@ -107,7 +137,7 @@ def rolling_models(vecs: DataFrame, length: int = 252, tau_fast: float = 21, tau
     x = raw.withColumn("__flip", F.transform(d, lambda v: (v < 0).cast("int"))).withColumn("cos_sim", F.zip_with(d, norm, lambda a, b: F.when(b > 0, F.abs(a) / b)))
     total = [F.sum(F.coalesce(F.get("__flip", F.lit(k)), F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0)) for k in range(m)]
     sign = F.array(*(F.when(s % 2 == 1, -1.0).otherwise(1.0) for s in total))
-    x = x.withColumn("__sign", sign).withColumn("b", F.zip_with("b", "__sign", lambda c, s: F.transform(c, lambda v: v * s))).withColumn("f", F.zip_with("f", "__sign", lambda v, s: v * s))
+    x = x.withColumn("__sign", F.slice(sign, F.lit(1), F.size("b"))).withColumn("b", F.zip_with("b", "__sign", lambda c, s: F.transform(c, lambda v: v * s))).withColumn("f", F.zip_with("f", "__sign", lambda v, s: v * s))
     fitted = F.transform(F.sequence(F.lit(0), F.size("r") - 1), lambda i: F.aggregate(F.zip_with("b", "f", lambda c, v: c[i] * v), F.lit(0.0), lambda s, y: s + y))
     x = x.withColumn("fitted", fitted)
     return x.withColumn("residual", F.zip_with("r", "fitted", lambda a, b: a - b)).drop("__flip", "__sign")
@@ -204,29 +234,67 @@ def shock_profile(f: dict[str, DataFrame]) -> DataFrame:
     return x.groupBy("factor", "tenor").agg(F.percentile("shock", F.lit(0.5)).alias("median_shock"), F.stddev_samp("shock").alias("sd_shock"), F.avg("loading").alias("mean_loading"), F.stddev_samp("loading").alias("sd_loading"))
 
 
+def _explained(models: DataFrame) -> DataFrame:
+    """By specification: n_obs, R2, volatility ratios, correlations, stability, residual size and explained variance.
+
+    One pass over the models: every row gives its tenors, pairs of tenors, cosines and explained variance to one aggregate.
+    """
+    each = F.transform(F.sequence(F.lit(0), F.size("r") - 1), lambda i: F.struct(F.lit("tenor").alias("kind"), i.alias("i"), F.lit(0).alias("j"), F.get("r", i).alias("x"), F.get("residual", i).alias("y")))
+
+    def two(name: str) -> Column:
+        def row(i: Column) -> Column:
+            later = F.filter(F.sequence(F.lit(0), F.size(name) - 1), lambda j: j > i)
+            return F.transform(later, lambda j: F.struct(F.lit(name).alias("kind"), i.alias("i"), j.alias("j"), F.get(name, i).alias("x"), F.get(name, j).alias("y")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(name) - 1), row))
+
+    none = F.lit(None).cast("double")
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    cos = F.transform("cos_sim", lambda v, i: F.struct(F.lit("cos").alias("kind"), i.alias("i"), F.lit(0).alias("j"), v.alias("x"), (v < 0.99).cast("double").alias("y")))
+    evr = F.array(F.struct(F.lit("evr").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), div(add(F.slice("lambda_raw", F.lit(1), F.size("b"))), add("lambda_raw")).alias("x"), none.alias("y")))
+    parts = models.select("spec", F.explode(F.concat(each, two("r"), two("residual"), F.coalesce(cos, F.array().cast("array<struct<kind:string,i:int,j:int,x:double,y:double>>")), evr)).alias("e")).select("spec", "e.*")
+    g = parts.groupBy("spec", "kind", "i", "j").agg(F.count("x").alias("n"), F.avg("x").alias("ax"), F.avg("y").alias("ay"), corr("x", "y").alias("c"), (1 - div(F.sum(F.col("y") * F.col("y")), F.var_pop("x") * F.count("x"))).alias("r2"), div(F.stddev_samp("y"), F.stddev_samp("x")).alias("ratio"), F.stddev_samp("y").alias("sy"), kurt("y").alias("k"), F.avg(F.abs("y")).alias("abs_y"))
+    of = lambda kind, v: F.when(F.col("kind") == kind, v)
+    return g.groupBy("spec").agg(
+        F.max(of("evr", F.col("n"))).alias("n_obs"),
+        F.avg(of("tenor", F.col("r2"))).alias("r2"),
+        F.percentile(of("tenor", F.col("r2")), F.lit(0.5)).alias("median_r2"),
+        F.min(of("tenor", F.col("r2"))).alias("min_r2"),
+        F.avg(of("tenor", F.col("ratio"))).alias("vol_ratio"),
+        F.max(of("tenor", F.col("ratio"))).alias("max_vol_ratio"),
+        F.avg(of("residual", F.abs("c"))).alias("resid_corr"),
+        F.max(of("residual", F.abs("c"))).alias("max_resid_corr"),
+        F.avg(of("r", F.abs("c"))).alias("raw_corr"),
+        (F.avg(of("r", F.abs("c"))) - F.avg(of("residual", F.abs("c")))).alias("corr_reduction"),
+        F.avg(of("cos", F.col("ax"))).alias("stability"),
+        F.avg(of("cos", F.col("ay"))).alias("share_below"),
+        F.avg(of("tenor", F.col("abs_y"))).alias("mean_abs_resid"),
+        F.avg(of("tenor", F.col("sy"))).alias("mean_resid_std"),
+        F.avg(of("tenor", F.col("k"))).alias("kurtosis"),
+        F.avg(of("evr", F.col("ax"))).alias("cumevr"),
+    )
+
+
 def spec_grid(vecs: DataFrame, n: int, lengths=(126, 252, 504), ms=(3, 4), fasts=(15, 21), slows=(126, 252)) -> DataFrame:
-    """A row for each specification with tau_fast < tau_slow <= T and m <= N: fit, correlation, stability and explained variance; rank is a mean of z-scores.
+    """A row for each specification with tau_fast < tau_slow <= T and m <= N: fit, correlation, stability, residuals and explained variance.
 
-    A specification without enough rows has NULLs.
+    ``score`` adds z-scores over the specifications that could be fitted: R2, reduction of correlation and stability,
+    less volatility ratio, residual correlation and the share of cosines below 0.99; ``rank`` is by score. A specification without enough rows has NULLs.
     """
     spark = vecs.sparkSession
-    out = None
-    for length in lengths:
-        for m in ms:
-            for fast in fasts:
-                for slow in slows:
-                    if not fast < slow <= length or m > n:
-                        continue
-                    models = rolling_models(vecs, length, fast, slow, min(n, max(3, m)), m)
-                    fr = frames(models)
-                    one = fit_quality(models).agg(F.avg("r2").alias("r2"), F.avg("vol_ratio").alias("vol_ratio"))
-                    one = one.crossJoin(off_diagonal(fr["residuals"], "eps").withColumnRenamed("mean_abs", "resid_corr").drop("max_abs"))
-                    one = one.crossJoin(fr["diagnostics"].agg(F.avg("cos_sim").alias("stability"))).crossJoin(fr["eigenvalues"].where(F.col("k") == m).agg(F.avg("cumevr").alias("cumevr")))
-                    one = one.select(*(F.lit(v).alias(k) for k, v in (("T", length), ("m", m), ("tau_fast", fast), ("tau_slow", slow))), "*")
-                    out = one if out is None else out.unionByName(one)
-    if out is None:
+    specs = [(T, fast, slow, min(n, max(3, m)), m) for T in lengths for m in ms for fast in fasts for slow in slows if fast < slow <= T and m <= n]
+    if not specs:
         return spark.createDataFrame([], "T int, m int, tau_fast int, tau_slow int, r2 double, vol_ratio double, resid_corr double, stability double, cumevr double, score double, rank int")
-    every = W.partitionBy()
-    z = lambda c, s: F.coalesce(s * div(F.col(c) - F.avg(c).over(every), F.stddev_pop(c).over(every)), F.lit(0.0))
-    scored = out.withColumn("score", (z("r2", 1) + z("resid_corr", -1) + z("stability", 1) + z("cumevr", 1)) / 4)
-    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "T", "m", "tau_fast", "tau_slow")))
+    named = spark.createDataFrame([(i, T, m, fast, slow) for i, (T, fast, slow, _, m) in enumerate(specs)], "spec int, T int, m int, tau_fast int, tau_slow int")
+    out = named.join(_explained(rolling_grid(vecs, specs)), "spec", "left").drop("spec")
+    every = W.partitionBy()  # a row for each specification
+    z = lambda c: F.coalesce(div(F.col(c) - F.avg(c).over(every), F.stddev_pop(c).over(every)), F.lit(0.0))
+    score = z("r2") + z("corr_reduction") + z("stability") - z("vol_ratio") - z("resid_corr") - z("share_below")
+    scored = out.withColumn("score", F.when(F.col("n_obs").isNotNull(), score))
+    return scored.withColumn("rank", F.when(F.col("n_obs").isNotNull(), F.row_number().over(W.orderBy(F.desc_nulls_last("score"), "T", "m", "tau_fast", "tau_slow"))))
+
+
+def grid_summary(grid: DataFrame, by: str) -> DataFrame:
+    """Means of the grid's main measures by one of its parameters, over the specifications that could be fitted."""
+    names = ("r2", "min_r2", "vol_ratio", "resid_corr", "max_resid_corr", "stability", "share_below", "cumevr")
+    return grid.groupBy(by).agg(F.count("n_obs").alias("specs"), *(F.avg(n).alias(n) for n in names))

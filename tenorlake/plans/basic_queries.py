@@ -126,9 +126,9 @@ def a27_daily_sum(spark, d):
     return tables.intraday_panel(spark, d).groupBy("quote_date", "option_type").agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("total"))
 
 
-@query(fin(INTRA, "option_type, mnes, n", "mean", "SELECT option_type, mnes, count(*) AS n, avg(y) AS mean FROM intra WHERE mnes IN ('0', '1') GROUP BY CUBE (option_type, mnes)"))
+@query(fin(INTRA, "option_type, mnes, n", "mean", "SELECT option_type, mnes, count(*) AS n, avg(y) AS mean FROM intra GROUP BY CUBE (option_type, mnes)"))
 def a30_cube(spark, d):
-    return tables.intraday_panel(spark, d).where(F.col("mnes").isin("0", "1")).cube("option_type", "mnes").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
+    return tables.intraday_panel(spark, d).cube("option_type", "mnes").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
 
 
 @query(fin("", "feature", "", "SELECT unnest(['l_quantity', 'l_tax']) AS feature"))
@@ -290,12 +290,6 @@ def f20_annualise(spark, d):
 # --- evaluation
 
 
-@query(fin(INTRA + ", ds AS (SELECT option_type, quote_time, quote_date, sum(y) AS s FROM intra GROUP BY 1, 2, 3)", "option_type, quote_time, n", "mean_bps", "SELECT option_type, quote_time, count(*) AS n, CASE WHEN count(*) >= 10 THEN avg(s) * 1e4 END AS mean_bps FROM ds GROUP BY 1, 2"))
-def m34_bar_family_matrix(spark, d):
-    s = tables.intraday_panel(spark, d).groupBy("option_type", "quote_time", "quote_date").agg(F.sum("y").alias("s"))
-    return s.groupBy("option_type", "quote_time").agg(F.count("*").alias("n"), F.when(F.count("*") >= 10, F.avg("s") * 1e4).alias("mean_bps"))
-
-
 @query(fin(PRED, "rule, n", "mean, sharpe", "SELECT rule, count(*) AS n, avg(p) AS mean, avg(p) / stddev_samp(p) * sqrt(252) AS sharpe FROM (SELECT 'sign' AS rule, sign(y_pred) * y_true AS p FROM pred UNION ALL SELECT 'threshold', CASE WHEN abs(y_pred) >= 0.05 THEN sign(y_pred) ELSE 0 END * y_true FROM pred UNION ALL SELECT 'long', y_true FROM pred) GROUP BY rule"))
 def m35_rule_comparison(spark, d):
     p = predictions(spark, d)
@@ -324,7 +318,7 @@ def o01_sorted_dispersion(spark, d):
     return g.orderBy(F.desc("dispersion"), "date").limit(20).select("date", "dispersion")
 
 
-@query()
+@query(fin("", 'user_id, start, "end", n', "total", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n, sum(value) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, value, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s"))
 def w_sessions(spark, d):
     from tenorlake.streaming import bars
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from tenorlake.functions.nulls import safe_bin
 from tenorlake.operators import audit, econ, evaluate, factor, models, panel, portfolio, regimes
 from tenorlake.plans.panel_queries import eps, returns
-from tenorlake.plans.registry import EPS, IC, INTRA, PRED, fin, query
+from tenorlake.plans.registry import EPS, IC, INTRA, PRED, RET, fin, query
 from tenorlake.sources import tables
 from tenorlake.streaming import bars
 
@@ -43,7 +43,7 @@ def w11_rolling_ic(spark, d):
 
 
 DECAY = PRED + (
-    ", ah AS (SELECT date, tenor, h, y_pred, lead(y_true, CAST(h AS INTEGER)) OVER (PARTITION BY tenor, h ORDER BY date) AS v FROM pred CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS h)), "
+    ", ah AS (SELECT date, tenor, h, y_pred, lead(y_true, CAST(h AS INTEGER)) OVER (PARTITION BY tenor, h ORDER BY date) AS v FROM pred CROSS JOIN (SELECT unnest(generate_series(1, 10)) AS h)), "
     "rr AS (SELECT date, h, rank() OVER (PARTITION BY date, h ORDER BY y_pred) AS a, rank() OVER (PARTITION BY date, h ORDER BY v) AS b FROM ah WHERE v IS NOT NULL), "
     "di AS (SELECT date, h, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic FROM rr GROUP BY 1, 2 HAVING count(*) >= 4)"
 )
@@ -51,7 +51,7 @@ DECAY = PRED + (
 
 @query(fin(DECAY, "h, n", "mean_ic, t", "SELECT CAST(h AS INTEGER) AS h, count(ic) AS n, avg(ic) AS mean_ic, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) AS t FROM di GROUP BY h"))
 def m20_signal_decay(spark, d):
-    return evaluate.decay(predictions(spark, d), "y_pred", "y_true", 5)
+    return evaluate.decay(predictions(spark, d), "y_pred", "y_true", 10)
 
 
 @query(fin(PRED + ", rt AS (SELECT tenor, y_pred, y_true, rank() OVER (PARTITION BY tenor ORDER BY y_pred) AS a, rank() OVER (PARTITION BY tenor ORDER BY y_true) AS b FROM pred)", "tenor, n", "ic, mse", "SELECT tenor, count(*) AS n, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS ic, avg((y_pred - y_true) ** 2) AS mse FROM rt GROUP BY tenor HAVING count(*) >= 10"))
@@ -153,11 +153,10 @@ def w23_timeslot_z(spark, d):
     return intraday(spark, d).select("quote_date", "quote_time", "option_type", "mnes", panel.expanding_z("y", ("option_type", "mnes"), ["quote_date", "quote_time"], 5).alias("z"))
 
 
-@query(fin(INTRA, "option_type", "m_0, m_1, m_2", "SELECT option_type, " + ", ".join(f"avg(CASE WHEN mnes = '{k}' THEN y END) AS m_{k}" for k in range(3)) + " FROM intra GROUP BY 1"))
+@query(fin(INTRA, "option_type", ", ".join(f"m_{k}" for k in range(8)), "SELECT option_type, " + ", ".join(f"avg(CASE WHEN mnes = '{k}' THEN y END) AS m_{k}" for k in range(8)) + " FROM intra GROUP BY 1"))
 def a13_pivot_means(spark, d):
-    p = intraday(spark, d).where(F.col("mnes").isin("0", "1", "2")).groupBy("option_type").pivot("mnes", ["0", "1", "2"]).agg(F.avg("y"))
-    every = intraday(spark, d).select("option_type").distinct()
-    return every.join(p, "option_type", "left").select("option_type", *(F.col(str(k)).alias(f"m_{k}") for k in range(3)))
+    p = intraday(spark, d).groupBy("option_type").pivot("mnes", [str(k) for k in range(8)]).agg(F.avg("y"))
+    return p.select("option_type", *(F.col(str(k)).alias(f"m_{k}") for k in range(8)))
 
 
 def _intraday_pred(spark, d):
@@ -196,9 +195,21 @@ def a26_within_demean(spark, d):
     return x.groupBy("option_type", "mnes").agg(F.avg(F.abs("y")).alias("y_within"))
 
 
-@query()
+IP = INTRA + ", ip AS (SELECT * FROM (SELECT *, -lag(y) OVER (PARTITION BY option_type, mnes ORDER BY quote_date, quote_time) AS y_hat FROM intra) WHERE y_hat IS NOT NULL)"
+CLUSTERED = IP + (
+    ", w1 AS (SELECT option_type AS g, quote_date, quote_time, y - avg(y) OVER (PARTITION BY option_type, mnes) AS y, y_hat - avg(y_hat) OVER (PARTITION BY option_type, mnes) AS x FROM ip), "
+    "w2 AS (SELECT g, quote_date, y - avg(y) OVER (PARTITION BY g, quote_time) AS y, x - avg(x) OVER (PARTITION BY g, quote_time) AS x FROM w1), "
+    "sm AS (SELECT g, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM w2 GROUP BY g HAVING count(*) >= 30), "
+    "be AS (SELECT *, n * sxx - sx * sx AS det, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS a FROM sm), "
+    "sc AS (SELECT g, quote_date, sum(u) AS s0, sum(x * u) AS s1, sum(u * u) AS ssr FROM (SELECT w2.g, quote_date, x, y - a - b * x AS u FROM w2 JOIN be ON w2.g = be.g) GROUP BY 1, 2), "
+    "me AS (SELECT g, count(*) AS c, sum(s0 * s0) AS m00, sum(s0 * s1) AS m01, sum(s1 * s1) AS m11, sum(ssr) AS ssr FROM sc GROUP BY g), "
+    "vv AS (SELECT be.*, c, ssr, c / (c - 1.0) * (n - 1.0) / (n - 2.0) * (sxx * sxx * m00 - 2 * sx * sxx * m01 + sx * sx * m11) / (det * det) AS v0, c / (c - 1.0) * (n - 1.0) / (n - 2.0) * (sx * sx * m00 - 2 * n * sx * m01 + n * CAST(n AS DOUBLE) * m11) / (det * det) AS v1 FROM be JOIN me USING (g))"
+)
+
+
+@query(fin(CLUSTERED, '"group", term, n, clusters', "coef, se, t, r2_adj, wald_f", "SELECT g AS \"group\", term, n, c AS clusters, coef, se, coef / se AS t, 1 - ssr / (n - 2) / ((syy - sy * sy / n) / (n - 1)) AS r2_adj, b * b / v1 AS wald_f FROM (SELECT *, 'const' AS term, a AS coef, sqrt(v0) AS se FROM vv UNION ALL SELECT *, 'y_hat', b, sqrt(v1) FROM vv)"))
 def m12_panel_ols_cluster(spark, d):
-    return econ.panel_ols(_intraday_pred(spark, d), "y", ["y_hat"], "option_type", ("mnes", "quote_time"))
+    return econ.panel_ols(_intraday_pred(spark, d), "y", ["y_hat"], "option_type", ("mnes", "quote_time")).drop("p")
 
 
 @query()
@@ -271,9 +282,9 @@ def m03_gram_matrix(spark, d):
     return factor.gram(factor.vectors(returns(spark, d)), "v", 7)
 
 
-@query(fin("", "i, j", "g", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CAST(embedding[i + 1] AS DOUBLE) * embedding[j + 1]) AS g FROM embeddings, (SELECT unnest(range(16)) AS i), (SELECT unnest(range(16)) AS j) WHERE i <= j GROUP BY 1, 2"))
+@query(fin("", "i, j", "g", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(CAST(embedding[i + 1] AS DOUBLE) * embedding[j + 1]) AS g FROM embeddings, (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j) WHERE i <= j GROUP BY 1, 2"))
 def m03_embedding_gram(spark, d):
-    return factor.gram(tables.table(spark, d, "embeddings", "embedding").select(F.col("embedding").cast("array<double>").alias("v")), "v", 16)
+    return factor.gram(tables.table(spark, d, "embeddings", "embedding").select(F.col("embedding").cast("array<double>").alias("v")), "v", 64)
 
 
 def _models(spark, d):
@@ -324,7 +335,13 @@ def m06_factor_counts(spark, d):
     return factor.factor_counts(factor.scree(factor.vectors(returns(spark, d)), 126), 7, 126)
 
 
-@query(fin("", "", "max_error", "SELECT 0.0::DOUBLE AS max_error"))
+@query(fin(RET + ", full_ AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM ret GROUP BY date HAVING count(*) = 7)", "date, tenor", "total", "SELECT date, tenor, r AS total FROM ret JOIN full_ USING (date) WHERE i > 104"))
+def m07_reconstruction(spark, d):
+    f = _factors(spark, d)
+    return f["fitted"].join(f["residuals"], ["date", "tenor"]).select("date", "tenor", (F.col("fit") + F.col("eps")).alias("total"))
+
+
+@query()
 def m07_reconstruction_error(spark, d):
     return factor.reconstruction_error(_models(spark, d))
 
@@ -336,7 +353,7 @@ def m08_shock_profile(spark, d):
 
 @query()
 def m09_spec_grid(spark, d):
-    return factor.spec_grid(factor.vectors(returns(spark, d)), 7, (126,), (3,), (15, 21), (63, 126))
+    return factor.spec_grid(factor.vectors(returns(spark, d)), 7)
 
 
 @query()
@@ -393,7 +410,10 @@ def j19_feature_correlations(spark, d):
     return audit.correlations(tables.table(spark, d, "lineitem", *names), names)
 
 
-@query(fin(FEATS, "feature, n", "", "SELECT unnest(['l_extendedprice', 'l_quantity']) AS feature, 1::BIGINT AS n FROM (SELECT 1 WHERE (SELECT abs(corr(l_extendedprice, l_quantity)) FROM ft) >= 0.8)"))
+HIGH = RET + ", cc AS (SELECT a.tenor AS a, b.tenor AS b, corr(a.r, b.r) AS c FROM ret a JOIN ret b ON a.date = b.date AND a.tenor < b.tenor GROUP BY 1, 2)"
+
+
+@query(fin(HIGH, "feature, n", "", "SELECT CAST(f AS VARCHAR) AS feature, count(*) AS n FROM (SELECT unnest([a, b]) AS f FROM cc WHERE abs(c) >= 0.05) GROUP BY 1"))
 def a29_high_correlations(spark, d):
-    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return audit.high_pairs(audit.correlations(tables.table(spark, d, "lineitem", *names), names))
+    high = audit.high_pairs(audit.tenor_correlations(returns(spark, d), "r"), 0.05)
+    return high.select(F.col("feature").cast("string").alias("feature"), "n")

@@ -283,6 +283,29 @@ def m32_autocorrelation(spark, d):
     return econ.autocorrelation(returns(spark, d), "r", ("tenor",), "date", 3).select("tenor", "lag", "acf")
 
 
+ACF = RET + ", kk AS (SELECT tenor, k, sum(u * v) / sum(u * u) AS r FROM (SELECT tenor, u, k, lag(u, k) OVER (PARTITION BY tenor, k ORDER BY date) AS v FROM (SELECT tenor, date, r - avg(r) OVER (PARTITION BY tenor) AS u FROM ret) CROSS JOIN (SELECT CAST(unnest(generate_series(1, 60)) AS INTEGER) AS k)) GROUP BY 1, 2)"
+
+
+@query(fin(ACF + ", w AS (SELECT tenor, max(r) FILTER (k = 1) AS a, max(r) FILTER (k = 2) AS b, max(r) FILTER (k = 3) AS c FROM kk GROUP BY tenor)", "tenor, lag", "pacf", "SELECT tenor, 1 AS lag, a AS pacf FROM w UNION ALL SELECT tenor, 2, (b - a * a) / (1 - a * a) FROM w UNION ALL SELECT tenor, 3, (a * a * a - 2 * a * b + a * b * b + c - a * a * c) / (1 - 2 * a * a - b * b + 2 * a * a * b) FROM w"))
+def m32_partial_autocorrelation(spark, d):
+    return econ.partial_autocorrelation(econ.autocorrelation(returns(spark, d), "r", ("tenor",), "date", 3), ("tenor",))
+
+
+KPSS = ACF + (
+    ", us AS (SELECT tenor, u, sum(u) OVER (PARTITION BY tenor ORDER BY date ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT tenor, date, r - avg(r) OVER (PARTITION BY tenor) AS u FROM ret)), "
+    "bs AS (SELECT tenor, sum(s * s) AS ss, sum(u * u) AS uu, count(*) AS n FROM us GROUP BY tenor), "
+    "fw AS (SELECT tenor, 2 * sum(k * r) / (1 + 2 * sum(r)) AS q FROM kk JOIN bs USING (tenor) WHERE k <= floor(pow(n, 2.0 / 9)) GROUP BY tenor), "
+    "lg AS (SELECT bs.*, CAST(least(floor(1.1447 * pow(q * q, 1.0 / 3) * pow(n, 1.0 / 3)), n - 1, 60) AS INTEGER) AS lags FROM bs JOIN fw USING (tenor)), "
+    "sp AS (SELECT tenor, sum((1 - k / (lags + 1.0::DOUBLE)) * r) AS m FROM kk JOIN lg USING (tenor) WHERE k <= lags GROUP BY tenor), "
+    "kp AS (SELECT tenor, lags, n, ss / (n * CAST(n AS DOUBLE)) / (uu / n * (1 + 2 * coalesce(m, 0))) AS kpss FROM lg LEFT JOIN sp USING (tenor))"
+)
+
+
+@query(fin(KPSS, "tenor, lags, n", "kpss, p", "SELECT *, CASE WHEN kpss < 0.347 THEN 0.1::DOUBLE WHEN kpss < 0.463 THEN 0.1::DOUBLE - (kpss - 0.347) / 0.116 * 0.05 WHEN kpss < 0.574 THEN 0.05::DOUBLE - (kpss - 0.463) / 0.111 * 0.025 WHEN kpss < 0.739 THEN 0.025::DOUBLE - (kpss - 0.574) / 0.165 * 0.015 ELSE 0.01::DOUBLE END AS p FROM kp"))
+def m32_kpss(spark, d):
+    return econ.kpss(returns(spark, d), "r", ("tenor",), "date")
+
+
 @query()
 def m32_unit_root(spark, d):
     return econ.unit_root(returns(spark, d), "r", "tenor", "date")
@@ -295,8 +318,8 @@ def m32_ljung_box_arch(spark, d):
     return q.join(econ.arch_lm(r, "r", ("tenor",), "date"), "key").select("tenor", "q", "lm")
 
 
-@query()
+@query(fin(RET + ", h AS (SELECT stddev_samp(r) * pow(count(*), -0.2) AS h FROM ret), gr AS (SELECT k / 20.0::DOUBLE AS at_ FROM (SELECT unnest(range(-10, 11)) AS k))", "", "point, density, normal", "SELECT at_ AS point, avg(exp(-0.5::DOUBLE * ((at_ - r) / h) ** 2) / (h * sqrt(2 * pi()))) AS density, exp(-0.5::DOUBLE * (at_ / 0.1::DOUBLE) ** 2) / (0.1::DOUBLE * sqrt(2 * pi())) AS normal FROM gr, h, ret GROUP BY at_"))
 def m33_kernel_density(spark, d):
     grid = spark.range(-10, 11).select((F.col("id") / 20).alias("at"))
     k = audit.kernel_density(returns(spark, d), "r", grid)
-    return k.withColumn("normal", audit.normal_pdf("at", 0.0, 0.1))
+    return k.withColumn("normal", audit.normal_pdf("at", 0.0, 0.1)).withColumnRenamed("at", "point")

@@ -250,7 +250,7 @@ def m01_time_weights(spark, d):
     return factor.weights_table(spark, 252, 21).withColumnRenamed("age", "weight_age")
 
 
-@query()
+@query(fin("", "family, n_present, n_missing, missing", "", "SELECT 'base' AS family, 4::INTEGER AS n_present, 0::INTEGER AS n_missing, []::VARCHAR[] AS missing UNION ALL SELECT 'storage', 0, 2, ['Storage', 'DeltaStorage_last']"))
 def x24_feature_registry(spark, d):
     return audit.registry(spark, weather.base(daily(spark, d)).columns, {"base": ["HDD", "CDD", "HDD2", "CDD2"], "storage": ["Storage", "DeltaStorage_last"]})
 

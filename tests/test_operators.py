@@ -369,3 +369,112 @@ def test_streams(spark, tmp_path):
     assert run(bars.once(stream()), "b2").count() == 60
     assert bars.sessions(df, "10 minutes").count() == 60
     assert run(bars.trailing_mean(bars.once(stream()), 3), "b3").count() == 60
+
+
+def test_serial_diagnostics(spark):
+    """Unit root with chosen lags, and level stationarity, against plain formulas."""
+    rng = np.random.default_rng(3)
+    noise = rng.normal(size=300)
+    series = {"white": noise, "walk": np.cumsum(noise), "ar": np.zeros(300), "flat": np.ones(300), "short": noise[:4]}
+    for t in range(1, 300):
+        series["ar"][t] = 0.6 * series["ar"][t - 1] + noise[t]
+    df = spark.createDataFrame([(k, i, float(v)) for k, vs in series.items() for i, v in enumerate(vs)], "key string, i int, x double")
+    out = {r.key: r for r in econ.unit_root(df, "x", "key", "i").collect()}
+
+    def regression(y, lags, skip):
+        d = np.diff(y)
+        rows = range(skip, len(d))
+        x = np.array([[1.0, y[t], *(d[t - k] for k in range(1, lags + 1))] for t in rows])
+        v = d[list(rows)]
+        b, *_ = np.linalg.lstsq(x, v, rcond=None)
+        ssr = ((v - x @ b) ** 2).sum()
+        se = np.sqrt(ssr / (len(v) - x.shape[1]) * np.linalg.inv(x.T @ x)[1, 1])
+        return b[1] / se, len(v) * (np.log(2 * np.pi * ssr / len(v)) + 1) + 2 * x.shape[1]
+
+    for key in ("white", "walk", "ar"):
+        most = int(np.ceil(12 * 3**0.25))
+        best = min(range(most + 1), key=lambda k: regression(series[key], k, most)[1])
+        assert out[key].lags == best and out[key].adf_t == pytest.approx(regression(series[key], best, best)[0])
+    assert out["walk"].p > 0.1 > 0.01 > out["white"].p and out["flat"].adf_t is None and out["flat"].p is None
+    at = spark.createDataFrame([(-2.86,), (-3.43,), (-2.57,), (5.0,), (-50.0,)], "t double")
+    assert [r.p for r in at.select(econ.adf_pvalue("t").alias("p")).collect()] == pytest.approx([0.05, 0.01, 0.10, 1, 0], abs=2e-3)
+    level = {r.key: r for r in econ.kpss(df, "x", ("key",), "i").collect()}
+    assert level["walk"].p == 0.01 and level["white"].p == 0.10 and level["flat"].kpss is None
+    acf = econ.autocorrelation(df.where("key = 'ar'"), "x", ("key",), "i", 6)
+    pacf = [r.pacf for r in econ.partial_autocorrelation(acf, ("key",)).orderBy("lag").collect()]
+    r = [1.0, *(x.acf for x in acf.orderBy("lag").collect())]
+    want = [np.linalg.solve([[r[abs(i - j)] for j in range(k)] for i in range(k)], r[1 : k + 1])[-1] for k in range(1, 7)]
+    assert pacf == pytest.approx(want)
+    assert econ.unit_root(df.limit(0), "x", "key", "i").count() == econ.kpss(df.limit(0), "x", ("key",), "i").count() == 0
+
+
+def test_linear_restrictions(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    x = rng.normal(size=(n, 2))
+    y = 1 + x @ [0.5, 0.45] + rng.normal(size=n)
+    day = rng.integers(0, 30, n)
+    df = spark.createDataFrame([(int(d), float(a), float(b), float(v)) for d, (a, b), v in zip(day, x, y, strict=True)], "quote_date int, a double, b double, y double")
+    tests = {"same": [{"a": 1, "b": -1}], "none": [{"a": 1}, {"b": 1}], "twice": [{"a": 1}, {"a": 2}]}
+    out = {r.test: r for r in econ.panel_ols(df, "y", ["a", "b"], restrictions=tests).collect()}
+    m = np.column_stack([np.ones(n), x])
+    inv = np.linalg.inv(m.T @ m)
+    beta = inv @ m.T @ y
+    u = y - m @ beta
+    s = np.array([(m[day == d] * u[day == d, None]).sum(0) for d in np.unique(day)])
+    g = len(s)
+    v = inv @ s.T @ s @ inv * g / (g - 1) * (n - 1) / (n - 3)
+    for name, r in (("same", [[0, 1, -1]]), ("none", [[0, 1, 0], [0, 0, 1]])):
+        r = np.array(r, float)
+        f = (r @ beta) @ np.linalg.solve(r @ v @ r.T, r @ beta) / len(r)
+        assert out[name].f == pytest.approx(f) and (out[name].df1, out[name].df2) == (len(r), g - 1)
+    assert out["twice"].f is None and out["same"].p > 0.05 > out["none"].p
+
+
+def test_importance_of_one_fit(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(3 * a + 0.1 * rng.normal())) for a, b in rng.normal(size=(500, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    fitted = models.fit(df, "y", ["a", "b"], "RandomForest", {"numTrees": 5, "maxDepth": 4})
+    mdi = {r.feature: r.importance for r in models.impurity_importance(fitted, spark).collect()}
+    mda = {r.feature: r.importance for r in models.permuted(fitted, df, "y", 4).collect()}
+    assert mdi["a"] > 0.9 and sum(mdi.values()) == pytest.approx(1) and mda["a"] > 5 > abs(mda["b"])
+    linear = models.fit(df, "y", ["a", "b"])
+    (got,) = [r.importance for r in models.permuted(linear, df, "y", 1).collect() if r.feature == "a"]
+    assert got == pytest.approx(18, rel=0.2) and linear.mdi() == {}
+    assert models.fitted_by("XGB") == "GBTRegressor" and models.fitted_by("Ridge") == "Ridge"
+
+
+def test_spec_grid_equals_single_models(spark):
+    from tenorlake.operators import factor
+
+    rng = np.random.default_rng(6)
+    rows = [(f"2020-{1 + i // 28:02d}-{1 + i % 28:02d}", t, float(v)) for i in range(200) for t, v in enumerate(rng.normal(size=5) + rng.normal(), 1)]
+    vecs = factor.vectors(spark.createDataFrame(rows, "date string, tenor int, r double").withColumn("date", F.to_date("date")))
+    grid = factor.spec_grid(vecs, 5, (40, 80, 900), (2, 3), (10,), (20, 40))
+    out = {(r["T"], r.m, r.tau_slow): r for r in grid.collect()}
+    assert len(out) == 12 and out[900, 2, 20].r2 is None and out[900, 2, 20]["rank"] is None
+    m = factor.rolling_models(vecs, 80, 10, 40, 3, 2)
+    fr = factor.frames(m)
+    one = out[80, 2, 40]
+    fit = factor.fit_quality(m).agg(F.avg("r2"), F.avg("vol_ratio"), F.min("r2")).head()
+    assert (one.r2, one.vol_ratio, one.min_r2) == pytest.approx(tuple(fit))
+    off = factor.off_diagonal(fr["residuals"], "eps").head()
+    assert (one.resid_corr, one.max_resid_corr) == pytest.approx((off.mean_abs, off.max_abs))
+    assert one.stability == pytest.approx(fr["diagnostics"].agg(F.avg("cos_sim")).head()[0])
+    assert one.cumevr == pytest.approx(fr["eigenvalues"].where("k = 2").agg(F.avg("cumevr")).head()[0])
+    ranked = sorted((r for r in out.values() if r["rank"]), key=lambda r: r["rank"])
+    assert len(ranked) == 8 and all(a.score >= b.score for a, b in zip(ranked, ranked[1:], strict=False))
+    by = {r.m: r for r in factor.grid_summary(grid, "m").collect()}
+    assert by[2].specs == 4 and by[2].r2 == pytest.approx(np.mean([r.r2 for k, r in out.items() if k[1] == 2 and r.r2 is not None]))
+
+
+def test_scratch_folder_is_shared(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tenorlake.sources import scratch
+
+    assert scratch.own(spark).startswith(scratch.root(spark))
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda k: None)))
+    with pytest.raises(RuntimeError):
+        scratch.root(bare)
