@@ -104,6 +104,59 @@ def test_neighbours_few_rows(spark):
     assert neighbours.search(vectors(spark, rows).limit(0), F.col("id") % 10 == 0).count() == 0
 
 
+def test_neighbours_of_queries_that_find_too_few(spark, monkeypatch):
+    """One probe, and outliers beside a dense cluster: what isn't found there comes from a comparison with all rows."""
+    monkeypatch.setattr(neighbours, "fit_probes", lambda *a: 1)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    rows = [(i, [float(x) for x in np.float32(base + 0.01 * rng.normal(size=16))]) for i in range(300)] + [(1000 + 10 * i, [float(x) for x in np.float32(rng.normal(size=16))]) for i in range(12)]
+    want = exact_neighbours(rows)
+    got: dict = {}
+    for r in neighbours.search(vectors(spark, rows), F.col("id") % 10 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.rank)
+    assert got.keys() == want.keys() and all(sorted(x) == [1, 2, 3, 4, 5] for x in got.values())
+
+
+def test_probes_are_the_best_pairs():
+    rng = np.random.default_rng(9)
+    units = rng.normal(size=(7, 12))
+    units /= np.sqrt((units * units).sum(1, keepdims=True))
+    h = neighbours.Hashes(12)
+    for most in (1, 5, 60, h.axes**2):
+        a, b = h.probes(units, 2, most)
+        for i in range(len(units)):
+            total = h.nearness(units, 2, 0)[i][:, None] + h.nearness(units, 2, 1)[i][None, :]
+            assert len(set(zip(a[i].tolist(), b[i].tolist(), strict=True))) == most
+            assert sorted(total[a[i], b[i]]) == pytest.approx(sorted(total.ravel())[-most:])
+
+
+def test_neighbours_compare_a_part_of_all_pairs(spark, monkeypatch):
+    """Recall of at least 0.9 on random vectors, which have far neighbours, with less than half of the comparisons of brute force."""
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=32))]) for i in range(6000)]
+    made, inner = [], neighbours._probed
+
+    def probed(some, h, probes, tables, k):
+        units = np.array([v for _, v in rows])
+        units /= np.sqrt((units * units).sum(1, keepdims=True))
+        codes, asked = h.codes(units), units[::100]
+        for t in range(tables):
+            a, b = h.probes(asked, t, probes)
+            size = np.bincount(codes[t, 0] * h.axes + codes[t, 1], minlength=h.axes**2)
+            made.append(size[a * h.axes + b].sum())
+        return inner(some, h, probes, tables, k)
+
+    monkeypatch.setattr(neighbours, "_probed", probed)
+    out = neighbours.search(vectors(spark, rows).repartition(3), F.col("id") % 100 == 0).collect()
+    x = np.array([v for _, v in rows])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    near = x[::100] @ x.T
+    near[np.arange(60), np.arange(0, 6000, 100)] = -2
+    top = np.argsort(-near, axis=1)[:, :5]
+    hits = sum(r.vec_id in top[r.query_id // 100] for r in out)
+    assert len(out) == 300 and hits >= 0.9 * 300 and sum(made) < 0.5 * 60 * 6000
+
+
 def test_hadamard():
     x = np.random.default_rng(1).normal(size=(5, 8))
     h = np.array([[(-1) ** bin(i & j).count("1") for j in range(8)] for i in range(8)]) / np.sqrt(8)
