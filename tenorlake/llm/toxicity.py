@@ -114,7 +114,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.shift, -40, 40)))
 
 
-def _some(column: pa.Array, bytes_: int = 8 << 20) -> Iterator[pa.Array]:
+def _some(column: pa.Array, bytes_: int = 4 << 20) -> Iterator[pa.Array]:
     """Parts of a column of texts with at most so many bytes, or one text."""
     texts = column.cast(pa.large_binary())
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
