@@ -8,15 +8,22 @@ between the two pivots. So x is also sent, as a visitor, to each cell with a
 smaller number that is so near, and each cell is joined by itself: its own
 vectors with each other and with its visitors. Every pair meets exactly once.
 
-A cell lies in chunks of at most ``CHUNK`` vectors; those of later chunks visit
-earlier ones. A chunk returns counts per vector and a spanning forest of its
-links, never all pairs. Products are screened in single precision; those near
-the threshold are decided in double precision.
-
-Equal vectors are one class with a multiplicity. Defined results: vectors that
-are null, empty, zero, hold null or non-finite components or are of another
-length than most link with nothing and are components of their own, as are rows
-without id; repeated rows count each.
+A cell is cut into rings by the distance to its pivot, chunks of at most
+``CHUNK`` vectors. By the triangle inequality again, what is within r of x lies
+in the rings from d(x, p) - r to d(x, p) + r, so a visitor goes to those only,
+and a vector of the cell itself to the rings below its own that reach up to
+d - r. A ring that can't be cut further by distance is dealt by hash. A chunk
+returns counts per vector and a spanning forest of its links, never all pairs.
+Products are screened in single precision; those near the threshold are decided
+in double precision.
+
+Equal vectors are one class with a multiplicity, known by a hash of 64 bits.
+Defined results: vectors that are null, empty, zero, hold null or non-finite
+components or are of another length than most link with nothing and are
+components of their own, as are rows without id; repeated rows count each; an
+empty table gives no rows; other columns are ignored, whatever their names.
+(There are no texts here; a vector of any length is held whole. Ties: a cosine
+of exactly the threshold links; of equal nearest pivots the first is the cell.)
 """
 
 from __future__ import annotations
@@ -33,22 +40,23 @@ from tenorlake.llm.components import components
 from tenorlake.llm.vectors import blocks, cosines, matrix, prepared, unit, usable
 
 CHUNK = 1024
-PIVOTS = 256  # at most; sampled from at most 4 * PIVOTS vectors
+PIVOTS = 2048  # at most, one for each 2 * CHUNK vectors; sampled from at most 4 * PIVOTS
+BINS = 64  # of the distance to a pivot; rings are made of them
 SLACK = 1e-6
 SCREEN = 1e-4  # more than single precision can be off for up to a thousand components
 
 
 def choose_pivots(sample: np.ndarray, wanted: int, radius: float) -> np.ndarray:
     """The first ``wanted`` of the sample that lie farther than 2 r from all chosen before."""
-    out: list[np.ndarray] = []
+    out = np.zeros((0, sample.shape[1]))
     for x in sample:
-        if len(out) < wanted and all(np.sqrt(max(0.0, 2 - 2 * float(x @ p))) > 2 * radius for p in out):
-            out.append(x)
-    return np.array(out)
+        if len(out) < wanted and (np.sqrt(np.maximum(2 - 2 * (out @ x), 0)) > 2 * radius).all():
+            out = np.concatenate([out, x[None, :]])
+    return out
 
 
-def cells(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Own cell of each row, and which smaller cells it visits (rows x cells)."""
+def cells(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own cell of each row, which smaller cells it visits and the distances to their pivots (rows x cells)."""
     dot = units @ pivots.T
     mine = dot.argmax(1)
     apart = np.sqrt(np.maximum(2 - 2 * (pivots @ pivots.T), 1e-30))
@@ -56,7 +64,41 @@ def cells(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndar
     near = lead / apart[mine] <= radius + SLACK
     far = np.sqrt(np.maximum(2 - 2 * dot, 0))
     near &= far - far[np.arange(len(units)), mine][:, None] <= 2 * radius + SLACK
-    return mine, near & (np.arange(len(pivots))[None, :] < mine[:, None])
+    return mine, near & (np.arange(len(pivots))[None, :] < mine[:, None]), far
+
+
+def _bin(distance: np.ndarray) -> np.ndarray:
+    return np.clip((distance * (BINS / 2)).astype(np.int64), 0, BINS - 1)
+
+
+class Rings:
+    """The chunks of each cell: those of a bin of distances are ``first`` to ``first + width - 1``."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        """``counts``: vectors by cell and bin."""
+        self.first, self.width = np.zeros(counts.shape, np.int64), np.ones(counts.shape, np.int64)
+        self.total = np.zeros(len(counts), np.int64)
+        for c, row in enumerate(counts.tolist()):
+            at = held = 0
+            for b, n in enumerate(row):
+                if held and held + n > CHUNK:
+                    at, held = at + 1, 0
+                self.first[c, b] = at
+                if n > CHUNK:  # held is 0
+                    self.width[c, b] = -(-n // CHUNK)
+                    at += int(self.width[c, b])
+                else:
+                    held += n
+            self.total[c] = at + (held > 0)
+
+    def own(self, cell: np.ndarray, distance: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        b = _bin(distance)
+        return self.first[cell, b] + mixed % self.width[cell, b]
+
+    def reach(self, cell: np.ndarray, distance: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """The first chunk, and one after the last, of the rings within ``radius`` of a distance."""
+        low, high = _bin(distance - radius - SLACK), _bin(distance + radius + SLACK)
+        return self.first[cell, low], np.minimum(self.first[cell, high] + self.width[cell, high], self.total[cell])
 
 
 def links(classes: DataFrame, threshold: float) -> DataFrame:
@@ -77,30 +119,35 @@ def links(classes: DataFrame, threshold: float) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, m = np.unique((unit(matrix(b.column("v"))) @ shared.value.T).argmax(1), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m)], names=["cell", "m"])
+            dot = unit(matrix(b.column("v"))) @ shared.value.T
+            mine = dot.argmax(1)
+            at, m = np.unique(mine * BINS + _bin(np.sqrt(np.maximum(2 - 2 * dot[np.arange(len(dot)), mine], 0))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(m)], names=["ring", "m"])
 
-    counted = classes.select("v").mapInArrow(count, "cell long, m long").groupBy("cell").agg(F.sum("m")).collect()  # a row for each pivot
-    chunks = np.zeros(len(pivots), np.int64)
+    counted = classes.select("v").mapInArrow(count, "ring long, m long").groupBy("ring").agg(F.sum("m")).collect()  # at most a row for each pivot and bin
+    counts = np.zeros(len(pivots) * BINS, np.int64)
     for c, m in counted:
-        chunks[c] = -(-m // CHUNK)
-    chunks_of = spark.sparkContext.broadcast(chunks)
+        counts[c] = m
+    rings_of = spark.sparkContext.broadcast(Rings(counts.reshape(-1, BINS)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = chunks_of.value
+        rings = rings_of.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 node, units = np.asarray(b.column("node")), unit(matrix(b.column("v")))
-                mine, visits = cells(units, shared.value, radius)
+                mine, visits, far = cells(units, shared.value, radius)
+                every = np.arange(len(node))
                 mixed = ((node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
-                chunk = mixed % chunks[mine]
+                chunk = rings.own(mine, far[every, mine], mixed)
                 who, cell = np.nonzero(visits)
-                who, cell = np.concatenate([np.arange(len(node)), who]), np.concatenate([mine, cell])
-                times = np.concatenate([chunk, chunks[cell[len(node) :]]])
+                who, cell = np.concatenate([every, who]), np.concatenate([mine, cell])
+                low, high = rings.reach(cell, far[who, cell], radius)
+                high[: len(node)] = chunk  # in the own cell: earlier chunks only
+                times = np.maximum(high - low, 0)
                 to, at_cell = np.repeat(who, times), np.repeat(cell, times)
-                at_chunk = np.arange(len(to)) - np.repeat(np.cumsum(times) - times, times)
-                take = np.concatenate([np.arange(len(node)), to])
+                at_chunk = np.repeat(low, times) + np.arange(len(to)) - np.repeat(np.cumsum(times) - times, times)
+                take = np.concatenate([every, to])
                 role = np.repeat(np.array([0, 1], np.int8), [len(node), len(to)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([mine, at_cell])), pa.array(np.concatenate([chunk, at_chunk])), pa.array(role), *(b.column(c).take(pa.array(take)) for c in ("node", "copies", "v"))], names=["cell", "chunk", "role", "node", "copies", "v"])
 

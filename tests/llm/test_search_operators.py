@@ -54,6 +54,45 @@ def test_metric_join(spark, monkeypatch, chunk):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out)
 
 
+def test_metric_join_deals_linearly_on_clusters(spark, monkeypatch):
+    """Tight clusters far apart: rows dealt for each vector don't grow with the number of vectors, and no chunk is over the bound."""
+    monkeypatch.setattr(metric_join, "CHUNK", 64)
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(400, 24))
+    dealt = []
+    for n in (1500, 6000):
+        made, inner = [], metric_join.Rings.reach
+
+        def reach(self, cell, distance, radius, made=made, inner=inner):
+            low, high = inner(self, cell, distance, radius)
+            made.append(int(np.maximum(high - low, 0).sum()))
+            return low, high
+
+        units = metric_join.unit((centres[rng.integers(0, len(centres) * n // 6000, n)] + 0.02 * rng.normal(size=(n, 24))))
+        pivots = metric_join.choose_pivots(units[: 4 * n // 128], n // 128, 0.3163)
+        mine, visits, far = metric_join.cells(units, pivots, 0.3163)
+        counts = np.zeros(len(pivots) * metric_join.BINS, np.int64)
+        np.add.at(counts, mine * metric_join.BINS + metric_join._bin(far[np.arange(n), mine]), 1)
+        rings = metric_join.Rings(counts.reshape(-1, metric_join.BINS))
+        own = rings.own(mine, far[np.arange(n), mine], np.arange(n))
+        assert np.unique(mine * 10_000 + own, return_counts=True)[1].max() <= 2 * 64 and (own < rings.total[mine]).all()
+        who, cell = np.nonzero(visits)
+        reach(rings, cell, far[who, cell], 0.3163)
+        dealt.append(sum(made) / n)
+        # every close pair meets: the later vector's rings hold the earlier one
+        near = np.argwhere(np.triu(units @ units.T >= 0.95, 1))
+        for a, b in rng.permutation(near)[:400]:
+            if mine[a] == mine[b]:
+                a, b = (a, b) if own[a] <= own[b] else (b, a)
+                low, _ = rings.reach(mine[[b]], far[[b], mine[[b]]], 0.3163)
+                assert low[0] <= own[a] <= own[b]
+            else:
+                a, b = (a, b) if mine[a] < mine[b] else (b, a)
+                low, high = rings.reach(mine[[a]], far[[b], mine[[a]]], 0.3163)
+                assert visits[b, mine[a]] and low[0] <= own[a] < high[0]
+    assert dealt[1] < 3 * max(dealt[0], 0.5)
+
+
 def test_metric_join_empty(spark):
     empty = vectors(spark, [(1, None)])
     assert metric_join.near_duplicates(empty).collect() == [(1, 0, 1, True)]
