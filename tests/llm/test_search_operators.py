@@ -277,6 +277,61 @@ def test_licenses(spark):
     assert licenses.findings(df.limit(0)).count() == 0
 
 
+def test_licenses_against_every_template():
+    """Brute force over every template and every place: what compression ranks high enough loses no place that the wording confirms."""
+    rng = random.Random(13)
+    made = [(name, licenses.words(text), text) for name, text in licenses.wordings()]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    found_all = 0
+    for _ in range(60):
+        parts = []
+        for name, ws, _ in rng.sample(made, rng.choice([1, 1, 2, 3])):
+            copy = list(ws)
+            for _ in range(rng.randrange(int(0.1 * len(ws)) + 1)):
+                k = rng.randrange(len(copy))
+                if not any(c.isdigit() for c in copy[k]):
+                    copy[k] = "altered"
+            parts += [*(f"w{rng.randrange(9**4)}" for _ in range(rng.randrange(3, 60))), ("L", name, copy)]
+        flat, want = [], []
+        for p in parts:
+            if isinstance(p, tuple):
+                want.append((len(flat), len(flat) + len(p[2]), p[1]))
+                flat += p[2]
+            else:
+                flat.append(p)
+        text = " ".join(flat)
+        got = licenses.scan(text)
+        if licenses.CUES.search(text):
+            assert [g["license"] for g in got] and len(got) >= len([w for w in want if licenses.CUES.search(" ".join(flat[w[0] : w[1]]))])
+        for lo, hi, name in want:
+            if not licenses.CUES.search(" ".join(flat[lo:hi])):
+                continue
+            # every template that this place confirms best, by plain edit distance
+            cost = {n: min(distance(ws, flat[lo:hi]) / len(ws) for m, ws, _ in made if m == n) for n, _, _ in made}
+            best = min(cost.values())
+            assert any(g["license"] in {n for n, c in cost.items() if c == best} for g in got), (text, got)
+            assert name in {g["license"] for g in got} or cost[name] > best or sum(c == best for c in cost.values()) > 1
+            found_all += 1
+    assert found_all > 50
+
+
+def test_licenses_repeated_and_long_texts(spark):
+    text = "SPDX-License-Identifier: MIT\n" + "This is free and unencumbered software released into the public domain.\n" * 40
+    rows = [(1, text, 5), (1, text, 5), (2, None, 5), (None, "word " * 60_000 + "Licensed under CC BY 4.0.", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_licenses int")
+    out = sorted(((r.doc_id, r.n_licenses, r.licenses) for r in licenses.findings(df).collect()), key=str)
+    assert out == [(1, 41, "MIT,Unlicense"), (1, 41, "MIT,Unlicense"), (2, 0, ""), (None, 1, "CC-BY-4.0")]
+
+
 def test_licenses_wrapped_and_several(spark):
     mit = "MIT License\n\nPermission is\nhereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\n"
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
