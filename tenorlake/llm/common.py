@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenorlake.sources import scratch
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        folder = tempfile.mkdtemp(prefix="tenorlake-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        root = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
 
-
-def _own(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/tenorlake/{spark.sparkContext.applicationId}"
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables. Results that were not written yet can't be computed afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete this application's scratch tables but those that ``keep`` read. Other results that were not written yet can't be computed afterwards."""
+    fs, path = scratch.files(spark, scratch.own(spark))
+    held = [f for df in keep for f in df.inputFiles()]
+    for found in fs.listStatus(path) if fs.exists(path) else ():
+        name = found.getPath().getName()
+        if not any(f"/{name}/" in f for f in held):
+            fs.delete(found.getPath(), True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -39,7 +27,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     size, so that a broadcast is chosen only for a side known to be small.
     """
     spark = df.sparkSession
-    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch.own(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

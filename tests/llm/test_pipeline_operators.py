@@ -451,6 +451,11 @@ def test_scratch_tables(spark):
 
     kept = common.materialize(spark.range(3), "scratch-test")
     assert kept.count() == 3
+    other = common.materialize(spark.range(4), "scratch-test")
+    common.release(spark, kept)
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*(found|exist)"):
+        other.count()
     common.release(spark)
     assert common.materialize(spark.range(2), "scratch-test").count() == 2
 
