@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from tenorlake.sources import scratch
 
 
-def release(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete this application's scratch tables but those that ``keep`` read. Other results that were not written yet can't be computed afterwards."""
+def tables(spark: SparkSession) -> set[str]:
+    """Names of this application's scratch tables."""
     fs, path = scratch.files(spark, scratch.own(spark))
-    held = [f for df in keep for f in df.inputFiles()]
-    for found in fs.listStatus(path) if fs.exists(path) else ():
-        name = found.getPath().getName()
-        if not any(f"/{name}/" in f for f in held):
-            fs.delete(found.getPath(), True)
+    return {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
+
+
+def release(spark: SparkSession, *keep: DataFrame, but: set[str] = frozenset()) -> None:
+    """Delete this application's scratch tables, but those named and those that ``keep`` read. Other results that were not written yet can't be computed afterwards."""
+    fs, path = scratch.files(spark, scratch.own(spark))
+    held = {part for df in keep for f in df.inputFiles() for part in f.split("/")[-2:]}
+    for name in tables(spark) - but - held:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -456,6 +456,10 @@ def test_scratch_tables(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="(?i)not.*(found|exist)"):
         other.count()
+    held = common.tables(spark)
+    common.materialize(spark.range(1), "scratch-test")
+    common.release(spark, but=held)
+    assert common.tables(spark) == held and kept.count() == 3
     common.release(spark)
     assert common.materialize(spark.range(2), "scratch-test").count() == 2
 
@@ -486,3 +490,50 @@ def test_pipeline_stages(spark, tmp_path):
     import numpy as np
 
     assert all(pieces.decode(v, np.array(r.ids)) == r.decoded for r in out)
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, extra columns with clashing names, an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(47)
+    base = [(i, prose(rng, 40, 50000), f"s{i % 2}") for i in range(60)]
+    long = prose(rng, 60_000, 90_000)
+    odd = [(100, None, "s0"), (101, "", None), (102, " \n\t ", "s1"), (None, prose(rng, 40, 50000), None), (103, long, "s1"), base[3], base[3], (None, None, None)]
+    docs = make(spark, base + odd)
+    clash = {n: docs["doc_id"] for n in ("node", "__row", "__t_row", "ids", "decoded", "toxicity", "pii_spans", "taken", "copy", "__key")}
+    docs.withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 7 == 0) if i % 5 else None) for i in range(60)] + [(None, 1), (3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    current = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, current, str(tmp_path))
+        assert after.columns == current.columns, name
+        current = after
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in out}
+    assert 103 in kept and len(kept & {100, 101, 102}) <= 1 and len(out) > 40
+    v = pieces.load()
+    import numpy as np
+
+    assert all((r.ids is None and r.decoded is None) or pieces.decode(v, np.array(r.ids, int)) == r.decoded for r in out)
+    make(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_repeated_and_long_rows(spark):
+    """Operators 1, 4, 5, 7 and 9 keep repeated rows apart and take very long texts whole."""
+    rng = random.Random(53)
+    long = prose(rng, 80_000, 5000) + " me@site.org"
+    docs = make(spark, [(1, "one two three me@x.org", "a"), (1, "one two three me@x.org", "a"), (2, long, "b"), (3, long, None), (None, None, None)])
+    sizes = sorted((r.doc_id, r["size"]) for r in mixing.measure(docs).collect() if r.doc_id)
+    assert sizes == [(1, 4), (1, 4), (2, 80_001), (3, 80_001)]
+    coded = [(r.doc_id, r.n_ids, r.round_trip) for r in pieces.tokenized(docs).collect()]
+    assert len(coded) == 5 and all(ok for *_, ok in coded) and len({n for i, n, _ in coded if i in (2, 3)}) == 1
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, toxic int")
+    scores = [(r.doc_id, r.toxicity) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()]
+    assert len(scores) == 5 and len({s for i, s in scores if i == 1}) == len({s for i, s in scores if i in (2, 3)}) == 1
+    found = [(r.doc_id, r.n_email) for r in pii.digest(docs).collect()]
+    assert sorted(found, key=str) == [(1, 1), (1, 1), (2, 1), (3, 1), (None, 0)]
+    parts = [(r.doc_id, r.component_id) for r in simhash.cluster(docs).collect()]
+    assert sorted(parts, key=str) == [(1, 1), (1, 1), (2, 2), (3, 2), (None, None)]
