@@ -1,7 +1,15 @@
 """Corpus pipeline: toxicity, near-duplicates, personal data, mixing, pieces.
 
 Each stage reads what its predecessor kept, written as Parquet. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. Scratch tables of a stage go when its
+result is written.
+
+Defined results: documents without a text are ordinary, one of them stays as
+the near-duplicate of all empty texts, and have null ids; null sources are one
+source; of rows with one doc_id that hold equal texts one stays; the mix may
+repeat or drop rows, by whole documents; extra columns pass through the stages,
+whatever their names, until the last, which returns its own; very long texts
+are treated whole in every stage; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenorlake.llm import mixing, pieces, pii, simhash, toxicity
-from tenorlake.llm.common import materialize
+from tenorlake.llm.common import materialize, release, tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +57,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = tables(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        release(spark, docs, but=others)
     return STAGES[-1][1](spark, docs, sf_dir)
