@@ -35,7 +35,7 @@ def roll_adjust(panel: DataFrame, rolls: DataFrame, price: str = "price") -> Dat
     lagged = panel.select("date", "tenor", F.col(price).alias("p"), F.lag(price).over(order).alias("p1"))
     lagged = lagged.withColumn("next1", F.lead("p1").over(W.partitionBy("date").orderBy("tenor"))).withColumn("next_tenor", F.lead("tenor").over(W.partitionBy("date").orderBy("tenor")))
     top = panel.agg(F.max("tenor").alias("__top"))
-    marked = lagged.join(F.broadcast(rolls.select("date").distinct().withColumn("__roll", F.lit(True))), "date", "left")
+    marked = lagged.join(rolls.select("date").distinct().withColumn("__roll", F.lit(True)), "date", "left")
     is_roll = F.coalesce("__roll", F.lit(False))
     raw = F.when((F.col("p") > 0) & (F.col("p1") > 0), F.ln(F.col("p") / F.col("p1")))
     ok = is_roll & (F.col("next_tenor") == F.col("tenor") + 1) & (F.col("next1") > 0) & (F.col("p") > 0)

@@ -71,7 +71,7 @@ class Portfolio:
             wide = loadings.where(F.col("factor") <= k).groupBy("date", "tenor").agg(F.array_sort(F.collect_list(F.struct("factor", "loading"))).alias("l"))
             wide = wide.withColumn("l", F.when(F.size("l") == k, F.transform("l", lambda x: x["loading"])))
             have = wide.select("date").distinct().withColumn("has", F.lit(True))
-            p = p.join(wide, ["date", "tenor"], "left").join(F.broadcast(have), "date", "left").where(F.col("has").isNull() | F.col("l").isNotNull())
+            p = p.join(wide, ["date", "tenor"], "left").join(have, "date", "left").where(F.col("has").isNull() | F.col("l").isNotNull())
         else:
             p = p.withColumn("l", F.lit(None).cast("array<double>"))
 

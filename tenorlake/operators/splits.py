@@ -61,12 +61,26 @@ def winsor_apply(df: DataFrame, fit: DataFrame, scale: tuple[str, ...] = (), cli
     return x.select(*(new[n].alias(n) if n in new else F.col(n) for n in df.columns))
 
 
-def preprocess(df: DataFrame, splits: DataFrame, columns: list[str], date: str = "date", low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Validation rows of each split, standardised by its training window: bounds and moments are one row per split."""
-    s = F.broadcast(splits.select("split", "train_start", "train_end", "val_start", "val_end"))
-    train = df.join(s, F.col(date).between(F.col("train_start"), F.col("train_end")))
-    b = train.groupBy("split").agg(*(F.percentile(c(n), F.array(F.lit(low), F.lit(high))).alias(f"{n}__b") for n in columns))
+def windows(dates: DataFrame, splits: DataFrame, date: str = "date") -> DataFrame:
+    """(date, split, part): the days of each split's windows, part ``train`` or ``val``. A calendar has few rows, whatever the panel has."""
+    days = dates.select(date).distinct()
+    inside = lambda part: F.col(date).between(F.col(f"{part}_start"), F.col(f"{part}_end"))
+    both = days.join(splits.select("split", "train_start", "train_end", "val_start", "val_end"), inside("train") | inside("val"))
+    return both.select(date, "split", F.when(inside("train"), "train").otherwise("val").alias("part"))
+
+
+def preprocess(df: DataFrame, splits: DataFrame, columns: list[str], date: str = "date", low: float = 0.01, high: float = 0.99, accuracy: int | None = None) -> DataFrame:
+    """Validation rows of each split, standardised by its training window: bounds and moments are one row per split.
+
+    Rows meet the days of the windows in an equi-join by date, and come to a split once for each window that holds
+    them. Bounds are exact percentiles, for which a task holds a split's different values; with ``accuracy`` they are
+    approximate, of bounded size (see ``percentile_approx``).
+    """
+    days = windows(df, splits, date)
+    train = df.join(days.where("part = 'train'").drop("part"), date)
+    quantiles = lambda n: F.percentile(c(n), F.array(F.lit(low), F.lit(high))) if accuracy is None else F.percentile_approx(n, [low, high], accuracy)
+    b = train.groupBy("split").agg(*(quantiles(n).alias(f"{n}__b") for n in columns))
     bound = lambda n: F.when(F.col(n).isNotNull(), F.least(F.greatest(F.col(n), F.col(f"{n}__b")[0]), F.col(f"{n}__b")[1]))
-    m = train.join(F.broadcast(b), "split").groupBy("split").agg(*(F.struct(F.avg(bound(n)).alias("mean"), F.stddev_samp(bound(n)).alias("std")).alias(f"{n}__s") for n in columns))
-    val = df.join(s, F.col(date).between(F.col("val_start"), F.col("val_end"))).join(F.broadcast(b), "split").join(F.broadcast(m), "split")
+    m = train.join(b, "split").groupBy("split").agg(*(F.struct(F.avg(bound(n)).alias("mean"), F.stddev_samp(bound(n)).alias("std")).alias(f"{n}__s") for n in columns))
+    val = df.join(days.where("part = 'val'").drop("part"), date).join(b, "split").join(m, "split")
     return val.select("split", *(div(bound(n) - F.col(f"{n}__s.mean"), F.col(f"{n}__s.std")).alias(n) if n in columns else F.col(n) for n in df.columns))

@@ -127,7 +127,7 @@ def to_daily(df: DataFrame, ann: DataFrame) -> DataFrame:
     """Announcement flag, business days since, last values, timing dummies and their products with the surprises."""
     sources = {s: d for s, d in (("delta_storage_bcf", "DeltaStorage_last"), ("E_DeltaStorage", "E_DeltaStorage_last"), ("U_DeltaStorage", "U_DeltaStorage_last"), ("Z_DeltaStorage", "Z_DeltaStorage_last")) if s in ann.columns}
     a = ann.select(F.col("ann_date").alias("date"), *(F.col(s).alias(d) for s, d in sources.items()), F.lit(1).alias("is_storage_announcement_day"), dates.business_ordinal("ann_date").alias("__ann"))
-    j = df.join(F.broadcast(a), "date", "left").withColumn("is_storage_announcement_day", F.coalesce("is_storage_announcement_day", F.lit(0)))
+    j = df.join(a, "date", "left").withColumn("is_storage_announcement_day", F.coalesce("is_storage_announcement_day", F.lit(0)))
     j = joins.forward_fill(j, [*sources.values(), "__ann"])
     since = (dates.business_ordinal("date") - F.col("__ann")).cast("double")
     j = j.withColumn("days_since_storage_announcement", since).drop("__ann")

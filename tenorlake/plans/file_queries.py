@@ -11,6 +11,7 @@ from tenorlake.functions import dates
 from tenorlake.plans.registry import DAILY, PANEL, fin, query
 from tenorlake.sources import scratch, tables
 from tenorlake.sources.tables import price_panel
+from tenorlake.streaming import bars
 
 
 def _folder(spark, name: str) -> str:
@@ -85,3 +86,28 @@ def s08_parquet_sink(spark, d):
 @query(fin(PANEL, "month, roll", "", "SELECT CAST(m AS DATE) AS month, CAST(m - CASE WHEN isodow(m) <= 2 THEN 4 WHEN isodow(m) = 7 THEN 3 ELSE 2 END * INTERVAL 1 DAY AS DATE) AS roll FROM (SELECT unnest(generate_series(date_trunc('month', (SELECT min(date) FROM panel)), date_trunc('month', (SELECT max(date) FROM panel)) + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS m)"))
 def s10_delivery_months(spark, d):
     return dates.month_starts(price_panel(spark, d)).select("month", dates.roll_date("month").alias("roll"))
+
+
+# --- streams
+
+
+def _streamed(spark, d, name: str, copies: int, of):
+    """The rows that a stream over the events writes: files of all events, so many times, one in each batch."""
+    folder = _folder(spark, name)
+    events = tables.table(spark, d, "events", "event_id", "user_id", "ts", "value").withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(copies):
+        events.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    out = of(bars.read(spark, f"{folder}/in", events.schema.simpleString()[7:-1].replace(":", " ")))
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query(fin("", "event_id, user_id", "value", "SELECT event_id, user_id, value FROM events"))
+def w_stream_once(spark, d):
+    """Every event arrives twice, and is passed on once."""
+    return _streamed(spark, d, "once", 2, lambda e: bars.once(e)).select("event_id", "user_id", "value")
+
+
+@query(fin("", "user_id, ts", "value, trailing_mean", "SELECT user_id, ts, value, avg(value) OVER (PARTITION BY user_id ORDER BY ts, value ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS trailing_mean FROM events"))
+def w_stream_trailing_mean(spark, d):
+    return _streamed(spark, d, "trailing", 1, lambda e: bars.trailing_mean(e.select("user_id", "ts", "value"))).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.col("trailing").alias("trailing_mean"))

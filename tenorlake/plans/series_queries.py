@@ -182,7 +182,7 @@ def j08_interval_join(spark, d):
 @query(fin(DAILY + ", " + ANN, "date", "HDD", "SELECT date, HDD FROM daily WHERE date NOT IN (SELECT ann_date FROM ann)"))
 def j17_anti_announcements(spark, d):
     ann = weather.announcements(stock(spark, d))
-    return daily(spark, d).select("date", "HDD").join(F.broadcast(ann), F.col("date") == F.col("ann_date"), "left_anti")
+    return daily(spark, d).select("date", "HDD").join(ann, F.col("date") == F.col("ann_date"), "left_anti")
 
 
 SPLITS = DAILY + ", o AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM daily)"

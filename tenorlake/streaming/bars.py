@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +40,11 @@ def trailing_mean(events: DataFrame, size: int = 20) -> DataFrame:
     """(user_id, ts, value, trailing): mean of the user's last ``size`` values up to each event, kept as state."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = np.array(state.get[0] if state.exists else [], float)
         rows = pd.concat(list(batches)).sort_values(["ts", "value"])
-        out = []
-        for v in rows.value:
-            held = [*held, float(v)][-size:]
-            out.append(sum(held) / len(held))
-        state.update((held,))
-        yield pd.DataFrame({"user_id": key[0], "ts": rows.ts, "value": rows.value, "trailing": out})
+        every = np.concatenate([held, rows.value.to_numpy(float)])
+        views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size - 1, np.nan), every]), size)[len(held) :]
+        state.update((every[-size:].tolist(),))
+        yield pd.DataFrame({"user_id": key[0], "ts": rows.ts, "value": rows.value, "trailing": np.nanmean(views, axis=1)})
 
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, ts timestamp, value double, trailing double", "held array<double>", "append", "NoTimeout")
