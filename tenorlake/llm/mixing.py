@@ -15,12 +15,14 @@ at again; everything else is a filter.
 
 The hash covers the whole row's key, source and text. At the threshold itself
 the documents of that one hash are cut to the words that are still wanted
-(``boundary="cut"``), or are taken whole if that comes nearer
-(``boundary="whole"``).
-
-Defined results: null text has 0 words; a null source is a source of its own;
-sources without words take 0; repeated rows count each; equal rows are treated
-alike; an empty table gives an empty result.
+(``measure``), or are taken whole if that comes nearer (``mix``). The window over
+sources has a row for each source.
+
+Defined results: null text has 0 words, very long texts count whole; a null
+source is a source of its own; sources without words take 0; repeated rows
+count each; equal rows, and rows whose hashes tie, are treated alike; an empty
+table gives an empty result; other columns stay in ``mix``, whatever their
+names, and ``measure`` returns none.
 """
 
 from __future__ import annotations

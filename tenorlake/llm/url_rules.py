@@ -10,12 +10,17 @@ confidence, then support, then number of tokens, then block) gives the verdict;
 pages that no rule fits are allowed.
 
 A URL has one token for each of a few slots (host, registered name, top-level
-domain, first host label, first and last path part, names of the query's
-fields, fragment), so a URL that is very frequent has at most 2**10 frequent
-combinations, whatever its length.
+domain, first and second host label, first three and last path parts, file
+extension, names of the query's fields, scheme), so a URL that is very frequent
+has at most 2**12 frequent combinations, whatever its length. Other path parts,
+values of fields and fragments are no tokens.
 
 Defined results: a null URL, or one without ``://``, has an empty host and
-path, no tokens and no rule, and is allowed; repeated rows stay.
+path, no tokens and no rule, and is allowed; very long URLs count whole for
+host, path and seed rules; repeated rows stay, and count each as labels; equal
+rules by confidence, support and number of tokens: block goes before allow, then
+the tokens that come later by code points; an empty table gives an empty one;
+other columns stay, but those called like a result are replaced.
 """
 
 from __future__ import annotations
@@ -70,7 +75,10 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         slot("name", F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1)), n >= 2),
         slot("top", F.element_at(labels, -1), host != ""),
         slot("sub", F.element_at(labels, 1), n >= 3),
+        slot("sub2", F.get(labels, F.lit(1)), n >= 4),
         slot("first", F.get(parts, F.lit(0)), m >= 1),
+        slot("second", F.get(parts, F.lit(1)), m >= 3),
+        slot("third", F.get(parts, F.lit(2)), m >= 4),
         slot("last", F.get(parts, m - 1), m >= 2),
         slot("ext", F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1), F.regexp_like(path, F.lit(r"\.([A-Za-z0-9]{1,8})$"))),
         slot("fields", fields, query != ""),

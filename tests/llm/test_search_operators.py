@@ -252,6 +252,40 @@ def test_url_rules(spark):
     assert [r.verdict for r in url_rules.judge(pages.limit(5)).collect()] == ["allow"] * 5
 
 
+def test_url_rules_equal_a_plain_miner(spark):
+    """Which rules are mined, which are pruned and which wins for each page, by counting every combination."""
+    from collections import Counter
+    from itertools import combinations
+
+    rng = random.Random(61)
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(['a.', 'b.c.', 'spam.', ''])}example.{rng.choice(['org', 'com', 'net', 'net'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.choice(['', 'x/', 'y/z/'])}{rng.randrange(12)}{rng.choice(['', '?p=1&q=2', '#top', '.html'])}" for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    held = pages.select("page_id", url_rules.tokens(F.col("url"), url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("t")).collect()
+    held = {r.page_id: sorted(set(r.t)) for r in held}
+    out = {r.page_id: r for r in url_rules.judge(pages).collect()}
+    every, by = Counter(), Counter()
+    labelled = {i: plain_rule(*plain_parts(u))[2] for i, u in enumerate(urls) if plain_rule(*plain_parts(u))}
+    for i, verdict in labelled.items():
+        for n in range(1, len(held[i]) + 1):
+            for c in combinations(held[i], n):
+                every[c] += 1
+                by[c, verdict] += 1
+    least = math.ceil(url_rules.SUPPORT * len(labelled))
+    rules = {(c, v): (n / every[c], n / len(labelled)) for (c, v), n in by.items() if n >= least and n / every[c] >= url_rules.CONFIDENCE}
+    kept = {k: x for k, x in rules.items() if not any((rest, k[1]) in rules and rules[rest, k[1]][0] >= x[0] for rest in (tuple(t for t in k[0] if t != gone) for gone in k[0]) if rest)}
+    hits = 0
+    for i, u in enumerate(urls):
+        if i in labelled:
+            assert out[i].verdict == labelled[i] and out[i].mined is None
+            continue
+        fits = [(x[0], x[1], len(c), v, list(c)) for (c, v), x in kept.items() if set(c) <= set(held[i])]
+        best = max(fits, default=None)
+        assert out[i].verdict == (best[3] if best else "allow"), u
+        assert (out[i].mined or "") == (" ".join(best[4]) if best else ""), u
+        hits += best is not None
+    assert hits > 50 and {r.verdict for i, r in out.items() if i not in labelled} == {"allow", "block"}
+
+
 # --- licenses
 
 
