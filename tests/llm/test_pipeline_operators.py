@@ -437,7 +437,11 @@ def test_simhash_deduplicate_counts_shingles(spark, monkeypatch):
     assert out == set(root) and len(out) < len(texts)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [5, 256])
+def test_components(spark, monkeypatch, hot):
+    import sys
+
+    monkeypatch.setattr(sys.modules["tenorlake.llm.components"], "HOT", hot)
     rng = random.Random(2)
     linked = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(500 + i, 501 + i) for i in range(40)] + [(600, 600 + i) for i in range(90)]
     out = {r.node: r.root for r in components(spark.createDataFrame(linked, "a long, b long")).collect()}
