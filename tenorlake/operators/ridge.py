@@ -43,7 +43,12 @@ def models(x: np.ndarray, y: np.ndarray, train: int, refit: int, window: int, im
             yield t, *fitted
 
 
+SERIES = 200_000  # rows of a series at most: a row a day for five centuries
+
+
 def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    if len(pdf) > SERIES:
+        raise ValueError(f"a series of {len(pdf)} rows; walk-forward fits take {SERIES} at most, give keys for several series")
     return np.array([[np.nan if v is None else v for v in row] for row in pdf.x], float).reshape(len(pdf), -1), pdf.y.to_numpy(float)
 
 
