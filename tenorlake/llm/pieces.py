@@ -47,10 +47,10 @@ from tenorlake.llm.common import col, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KNOWN = 400_000  # segments remembered by a worker
+KNOWN = 200_000  # segments remembered by a worker
 PAIRS = (1 << 20) - 1  # answers about two neighbours remembered by a worker
-LANES = 16_384  # segments searched side by side
-BLOCK = 8 << 20  # bytes of text segmented at once
+LANES = 8192  # segments searched side by side
+BLOCK = 4 << 20  # bytes of text segmented at once
 UNKNOWN, BEGIN, CLOSED = -1, -2, -3  # instead of the piece that ends at a boundary: a character outside the vocabulary, the text's beginning, no path
 
 
@@ -122,7 +122,7 @@ class Vocabulary:
         """The pieces as a tree: the child of a node by its number and a character."""
         letters = sorted({ord(c) for p in self.search for c in p})
         self.width = len(letters) + 1
-        self.letter = np.full(max(letters, default=0) + 2, len(letters), np.int64)  # the last entry is for all higher ones
+        self.letter = np.full(max(letters, default=0) + 2, len(letters), np.int32)  # the last entry is for all higher ones
         self.letter[letters] = np.arange(len(letters))
         child, piece = {}, [-1]
         for p, k in self.search.items():
@@ -367,7 +367,7 @@ def _list(ends: np.ndarray, values: np.ndarray) -> pa.LargeListArray:
 
 
 def _points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
 
 def stream(v: Vocabulary, text: str) -> Iterator[int]:
@@ -469,6 +469,7 @@ def _mapped(df: DataFrame, keep: list[str], size_of: str, made: list[T.StructFie
                 b = whole.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *make(shared.value, b)], names=[*keep, *(f.name for f in made)])
                 at = to
+            pa.default_memory_pool().release_unused()  # workers live on, in other stages too
 
     return df.select(*(col(c) for c in keep)).mapInArrow(run, schema)
 

@@ -55,7 +55,7 @@ ROWS = 6000
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 WORDS = 400_000
 SHARES, PADS = (0.001, 0.01, 0.1, 1.0), (0, 10, 30, 100)
-PAIRS = 1 << 18  # pairs that a task counts before it puts them out
+PAIRS = 1 << 17  # pairs that a task counts before it puts them out
 _space = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -77,9 +77,11 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     first[1:] &= ~solid[:-1]
     begins = ends[:-1][(ends[:-1] < len(data))]
     first[begins] = solid[begins]  # a text's first word doesn't go on from the text before it
-    counts = np.concatenate([[0], np.cumsum(first)])[ends] if len(ends) else np.zeros(0, np.int64)
-    kept = np.concatenate([[0], np.cumsum(solid)])
-    offsets = np.append(kept[:-1][first], kept[-1]).astype(np.int64)
+    place = np.append(np.flatnonzero(first), len(data))
+    counts = np.searchsorted(place[:-1], ends)  # words that begin before a text's end
+    kept = np.cumsum(solid, dtype=np.int32 if len(data) < 1 << 31 else np.int64)  # bytes of words up to and with each place
+    total = int(kept[-1]) if len(kept) else 0
+    offsets = np.append(kept[place[:-1]] - 1, total).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])])
     return words, np.diff(counts, prepend=0)
 
@@ -114,7 +116,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(texts) + self.shift, -40, 40)))
 
 
-def _some(column: pa.Array, bytes_: int = 4 << 20) -> Iterator[pa.Array]:
+def _some(column: pa.Array, bytes_: int = 2 << 20) -> Iterator[pa.Array]:
     """Parts of a column of texts with at most so many bytes, or one text."""
     texts = column.cast(pa.large_binary())
     ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
