@@ -407,7 +407,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     def linked(once: DataFrame) -> DataFrame:
         ends = links(once, WIDE, BySize(similarity), radius // WIDE, radius, similarity, only_ends=True).select(F.col("a").alias("node")).distinct()
         some = once.join(materialize(ends, "simhash-candidates"), "node", "left_semi").withColumn(row, F.col("first.r")).drop("first")
-        texts = rows.select(col(row), col(text).alias("__text")).join(materialize(some, "simhash-some"), row).drop(row)
+        # dealt by row at every size of the input, as below
+        texts = rows.select(col(row), col(text).alias("__text")).join(materialize(some, "simhash-some").hint("merge"), row).drop(row)
         sets = materialize(_sets(texts, "__text", width), "simhash-sets")
         # a set goes to two tiles only: that costs comparisons of few sets, and saves copies of their shingles
         return links(sets, WIDE, BySize(similarity, 1), radius // WIDE, radius, similarity)
