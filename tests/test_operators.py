@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 
 import numpy as np
@@ -233,6 +234,17 @@ def test_asof_and_nearest(spark):
     assert {(r.event_date, r.nearest) for r in joins.nearest(ev, facts).collect()} == {(day(3), day(2)), (day(9), day(4)), (day(99), day(20))}
 
 
+def test_grid_is_the_product_in_few_tasks(spark):
+    names = {"a": [3, 1, 1], "b": [0.5, None], "c": ["x", "y"], "d": [True, False], "e": [DAY, day(1)], "f": [2**40]}
+    out = joins.grid(spark, names)
+    assert out.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string"), ("d", "boolean"), ("e", "date"), ("f", "bigint")]
+    assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert [tuple(r) for r in out.collect()] == list(itertools.product(*names.values()))
+    assert joins.grid(spark, names, "a = 1 and b is null").count() == 16
+    with pytest.raises(ValueError):
+        joins.grid(spark, {"a": [1], "b": []})
+
+
 # --- statistics
 
 
